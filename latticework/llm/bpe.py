@@ -114,7 +114,8 @@ class Encoder:
         symbol = np.append(symbol, -1)
         owner = np.append(np.repeat(np.arange(len(rows)), lens), -1)
         after, before = np.arange(1, n + 2), np.arange(-1, n)
-        ends = np.cumsum(lens)[lens > 0]
+        bound = np.concatenate(([0], np.cumsum(lens)))
+        ends = bound[1:][lens > 0]
         after[ends - 1], before[ends - lens[lens > 0]] = n, n
         after[n] = before[n] = n
         index: dict[int, list[np.ndarray]] = {}
@@ -127,9 +128,10 @@ class Encoder:
             where, rank = where[rank >= 0], rank[rank >= 0]
             order = np.argsort(rank, kind="stable")
             where, rank = where[order], rank[order]
-            cuts = np.flatnonzero(rank[1:] != rank[:-1]) + 1
-            heads = [0, *cuts.tolist()] if len(rank) else []
-            for a, b, r in zip(heads, [*heads[1:], len(rank)], rank[heads].tolist() if heads else [], strict=True):
+            if not len(rank):
+                return
+            heads = [0, *(np.flatnonzero(rank[1:] != rank[:-1]) + 1).tolist()]
+            for a, b, r in zip(heads, [*heads[1:], len(rank)], rank[heads].tolist(), strict=True):
                 if r not in index:
                     index[r] = []
                     heapq.heappush(active, r)
@@ -153,7 +155,8 @@ class Encoder:
                 twice = np.unique(twice)
                 single.update(twice.tolist())
                 keep = ~np.isin(owner[at], twice)
-                symbol[:n][np.isin(owner[:n], twice)] = -1
+                for k in twice.tolist():
+                    symbol[bound[k] : bound[k + 1]] = -1
                 at, behind = at[keep], behind[keep]
             symbol[at], symbol[behind] = new, -1
             rest = after[behind]
@@ -162,7 +165,7 @@ class Encoder:
             before[rest[inner]] = at[inner]
             ahead = before[at]
             note(np.concatenate((at, ahead[ahead < n])))
-        symbol, bound = symbol[:n], np.concatenate(([0], np.cumsum(lens)))
+        symbol = symbol[:n]
         kept = symbol >= 0
         count = np.concatenate(([0], np.cumsum(kept)))[bound].tolist()
         flat = symbol[kept].tolist()
