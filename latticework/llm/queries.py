@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, mixing, sharding, simhash_dedup, toxicity
+from . import bpe, exact_dedup, html_text, mixing, sharding, simhash_dedup, topk, toxicity
 from .common import table
 
 
@@ -12,6 +12,10 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.embedding_top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -30,20 +34,37 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "held_out", "score", "predicted")
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), digest=True)
 
 
 QUERIES = {
     "op2_source_mixing": op2_source_mixing,
+    "op3_top_k": op3_top_k,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_simhash_dedup": op6_simhash_dedup,
     "op7_sharding": op7_sharding,
     "op8_toxicity": op8_toxicity,
+    "op9_html_text": op9_html_text,
     "op10_bpe": op10_bpe,
 }
 
 ORACLE_SQL = {
+    "op3_top_k": """
+        with v as (
+            select vec_id, [cast(floor(256 * cast(x as double)) as bigint) for x in embedding] as v
+            from embeddings
+            where embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
+        s as (
+            select q.vec_id as query_id, c.vec_id as vec_id,
+                cast(list_sum([a[1] * a[2] for a in list_zip(q.v, c.v)]) as bigint) as score
+            from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0),
+        r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+        select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 5""",
     "op5_exact_dedup": """
         with n as (
             select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t
