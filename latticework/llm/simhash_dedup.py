@@ -4,14 +4,22 @@ Fingerprints are 64-bit SimHashes of word shingles.  The bits are grouped into `
 partitions, correlated bits together.  If two fingerprints differ in at most ``tau`` bits
 and the thresholds ``t_1 .. t_m`` (each -1 or more) sum to ``tau - m + 1``, then in some
 partition they differ in at most ``t_i`` bits; a dynamic programme picks the thresholds with
-the fewest estimated candidates.  Every fingerprint probes partition ``i`` with all values
-within ``t_i`` bits of its own (none for -1), and every candidate is verified on all bits.
+the fewest estimated candidates.  In partition ``i`` every fingerprint enters the buckets of
+all values within ``ceil(t_i / 2)`` bits of its own (none for -1); two entries of a bucket are
+candidates if their distances to its value sum to at most ``t_i``, and every candidate is
+verified on all bits.
 
-Only distinct fingerprints are compared.  A bucket of candidates is walked in one task while
-it holds at most ``BUCKET_ROWS`` entries; larger buckets take another exact way whose work is
+Only distinct fingerprints are compared.  A bucket is walked in one task while it holds at
+most ``BUCKET_ROWS`` entries; larger buckets take another exact way.  For small ``tau`` it is
 linear in their size: two fingerprints are within three bits if and only if some value is
-within two bits of one and one bit of the other (in general tau - tau // 2 and tau // 2), so all that meet at a value are linked to
-one hub there.  Links are reduced to spanning trees in each task before components are found.
+within two bits of one and one bit of the other (in general ``tau - tau // 2`` and
+``tau // 2``), so all that meet at a value are linked to one hub there.  For larger ``tau`` the
+bucket is cut into blocks and every pair of blocks is a row of its own.  Links are reduced to
+spanning trees in each task before components are found, so no group's pairs are ever emitted.
+
+With ``wide`` a second fingerprint of 64 bits (another seed) confirms candidates: both
+together must differ in at most ``wide`` bits.  Larger ``tau`` needs it, as unrelated
+fingerprints of 64 bits come that close by chance.
 
 Defined results: a null text counts as empty; texts without words have fingerprint zero and
 are linked like any other; rows with a null id take part and carry null; other columns play
@@ -20,6 +28,8 @@ no part; no rows give no rows.
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,34 +42,43 @@ from .common import components, cut, shuffle_partitions, skew_join
 
 BITS, TAU = 64, 3
 BUCKET_ROWS = 1 << 14
+MAX_RADIUS = 2
 SEED = 42
-FP_SCHEMA = "doc_id long, xh long, uid long, fp long"
+FP_SCHEMA = "doc_id long, xh long, uid long, fp long, fp2 long"
+HUB_TAU = 3
+# For shingles of five words and a Jaccard similarity of 0.8 the two fingerprints of a pair
+# differ in about 9.6 bits of 64 each.
+NEAR_TAU, NEAR_WIDE = 11, 24
 
 
-def simhash(text: bytes, width: int, block: int = 1 << 17) -> int:
-    """64-bit SimHash over ``width``-word shingles of lower-cased UTF-8 ``text``, repeats included."""
+def simhash(text: bytes, width: int, seeds: tuple[int, ...] = (SEED,), block: int = 1 << 17) -> list[int]:
+    """64-bit SimHashes, one a seed, over ``width``-word shingles of lower-cased UTF-8, repeats included."""
     words = text.lower().split()
     if not words:
-        return 0
+        return [0] * len(seeds)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     width = min(width, len(words))
     first, last = starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist()
     digest = xxhash.xxh64_digest
-    ones = np.zeros(BITS, np.int64)
-    for at in range(0, len(first), block):
-        raw = b"".join([digest(joined[a:b], SEED) for a, b in zip(first[at : at + block], last[at : at + block], strict=True)])
-        bits = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1)
-        ones += bits.sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > len(first)).tobytes(), "big")
+    out = []
+    for seed in seeds:
+        ones = np.zeros(BITS, np.int64)
+        for at in range(0, len(first), block):
+            raw = b"".join([digest(joined[a:b], seed) for a, b in zip(first[at : at + block], last[at : at + block], strict=True)])
+            bits = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1)
+            ones += bits.sum(axis=0, dtype=np.int64)
+        out.append(int.from_bytes(np.packbits(ones * 2 > len(first)).tobytes(), "big"))
+    return out
 
 
-def _simhash_batches(width: int):
+def _simhash_batches(width: int, seeds: tuple[int, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.array([simhash(t.as_py().encode(), width) for t in batch.column("text")], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("xh"), batch.column("uid"), pa.array(values.view(np.int64))], names=["doc_id", "xh", "uid", "fp"])
+            values = np.array([simhash(t.as_py().encode(), width, seeds) for t in batch.column("text")], dtype=np.uint64).reshape(-1, len(seeds)).view(np.int64)
+            both = [pa.array(values[:, 0]), pa.array(values[:, -1])]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("xh"), batch.column("uid"), *both], names=["doc_id", "xh", "uid", "fp", "fp2"])
 
     return run
 
@@ -152,8 +171,9 @@ def plan(nodes: DataFrame, n: int, tau: int = TAU) -> tuple[list[list[int]], lis
         hist[r.p][r.v] = r["count"]
     for g, h in zip(groups, hist, strict=True):
         narrowed = 2.0 ** (len(g) - min(len(g), 16))
-        probes = np.cumsum([1, len(g), len(g) * (len(g) - 1) / 2, len(g) * (len(g) - 1) * (len(g) - 2) / 6])
-        costs.append([0.0] + [c / narrowed + 4 * n * p for c, p in zip(ball_counts(h, tau), probes, strict=True)][: tau + 1])
+        probes = np.cumsum([math.comb(len(g), r) for r in range(MAX_RADIUS + 1)])
+        # A pair at distance d below the threshold meets at several values; counting it at each is the price of few entries.
+        costs.append([0.0] + [(c / narrowed) * (1 if t < 2 else len(g) / 2) + 40 * n * float(probes[-(-t // 2)]) for t, c in enumerate(ball_counts(h, min(tau, 2 * MAX_RADIUS)))])
     return groups, allocate(costs, tau - m + 1)
 
 
@@ -172,8 +192,11 @@ def _forest(a: np.ndarray, b: np.ndarray, label: np.ndarray) -> None:
             label[:] = up
 
 
-def _link_runs(key: np.ndarray, fp: np.ndarray, exact: np.ndarray, tau: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links among entries with equal (sorted) keys, at least one entry of a pair exact."""
+def _link_runs(key: np.ndarray, far: np.ndarray, most: np.ndarray, fp: np.ndarray, fp2: np.ndarray, tau: int, wide: int | None, half: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links among entries with equal (sorted) keys.
+
+    ``far``: an entry's distance to its bucket's value; ``most``: its partition's threshold;
+    ``half``: where given and not negative, only pairs of unequal halves are looked at."""
     n = len(key)
     label = np.arange(n)
     at = np.arange(n)
@@ -183,28 +206,32 @@ def _link_runs(key: np.ndarray, fp: np.ndarray, exact: np.ndarray, tau: int) ->
         at = at[at + d < n]
         at = at[key[at] == key[at + d]]
         b = at + d
-        hit = (exact[at] | exact[b]) & (label[at] != label[b])
+        hit = (far[at] + far[b] <= most[at]) & (label[at] != label[b])
+        if half is not None:
+            hit &= (half[at] != half[b]) | (half[at] < 0)
         a, b = at[hit], b[hit]
-        near = np.bitwise_count(fp[a] ^ fp[b]) <= tau
+        bits = np.bitwise_count(fp[a] ^ fp[b])
+        near = bits <= tau
+        if wide is not None and near.any():
+            near &= bits + np.bitwise_count(fp2[a] ^ fp2[b]) <= wide
         if near.any():
             _forest(a[near], b[near], label)
     child = np.flatnonzero(label != np.arange(n))
     return fp[child], fp[label[child]]
 
 
-def _link_batches(tau: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+def _link_batches(tau: int, wide: int | None, thresholds: list[int]):
+    limits = np.array(thresholds)
 
-        def links(rows: pa.Table):
-            key = rows.column("key").to_numpy()
-            part = rows.column("p").to_numpy()
-            fp = rows.column("fp").to_numpy().view(np.uint64)
-            exact = rows.column("exact").to_numpy()
-            run_id = np.concatenate(([0], np.cumsum((key[1:] != key[:-1]) | (part[1:] != part[:-1])))) if len(key) else key
-            a, b = _link_runs(run_id, fp, exact, tau)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+    def links(rows: pa.Table) -> pa.RecordBatch:
+        key, part, far, half = (rows.column(c).to_numpy() for c in ("key", "p", "far", "half"))
+        fp, fp2 = (rows.column(c).to_numpy().view(np.uint64) for c in ("fp", "fp2"))
+        run_id = np.concatenate(([0], np.cumsum((key[1:] != key[:-1]) | (part[1:] != part[:-1]))))
+        a, b = _link_runs(run_id, far, limits[part], fp, fp2, tau, wide, None if (half < 0).all() else half)
+        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -223,17 +250,15 @@ def _link_batches(tau: int):
     return run
 
 
+def _masks(bits: list[int], radius: int) -> list[tuple[int, int]]:
+    """All sets of at most ``radius`` of the bits as signed 64-bit masks, with their sizes."""
+    masks = [(sum(1 << b for b in some), r) for r in range(radius + 1) for some in itertools.combinations(bits, r)]
+    return [(x - (1 << 64) if x >> 63 else x, r) for x, r in masks]
+
+
 def _flips(fp: Column, bits: list[int], radius: int) -> Column:
-    """All values within ``radius`` (0, 1, 2) flips of ``bits`` as an array."""
-    masks = [0]
-    if radius > 0:
-        masks += [1 << b for b in bits]
-    if radius > 1:
-        masks += [1 << b | 1 << c for i, b in enumerate(bits) for c in bits[:i]]
-    if radius > 2:
-        masks += [1 << b | 1 << c | 1 << d for i, b in enumerate(bits) for j, c in enumerate(bits[:i]) for d in bits[:j]]
-    signed = [x - (1 << 64) if x >> 63 else x for x in masks]
-    return F.transform(F.array(*[F.lit(x).cast("long") for x in signed]), lambda x: x.bitwiseXOR(fp))
+    """All values within ``radius`` flips of ``bits`` as an array."""
+    return F.transform(F.array(*[F.lit(x).cast("long") for x, _ in _masks(bits, radius)]), lambda x: x.bitwiseXOR(fp))
 
 
 def _hub_links(entries: DataFrame, tau: int, bits: list[list[int]]) -> DataFrame:
@@ -250,42 +275,60 @@ def _hub_links(entries: DataFrame, tau: int, bits: list[list[int]]) -> DataFrame
     return out.distinct()
 
 
-def _entry(p: int, group: list[int]):
-    return lambda z: F.struct(F.lit(p).alias("p"), _gather(z, group).alias("key"), (z == F.col("fp")).alias("exact"))
+def _entries(p: int, group: list[int], threshold: int) -> Column:
+    """A fingerprint's entries in partition ``p``: the bucket's value and its distance."""
+    masks = _masks(group, -(-threshold // 2))
+    pairs = F.array(*[F.struct(F.lit(x).cast("long").alias("x"), F.lit(r).alias("r")) for x, r in masks])
+    return F.transform(pairs, lambda m: F.struct(F.lit(p).alias("p"), _gather(m["x"].bitwiseXOR(F.col("fp")), group).alias("key"), m["r"].alias("far")))
+
+
+def _block_pairs(entries: DataFrame, sizes: DataFrame, bucket_rows: int) -> DataFrame:
+    """Oversized buckets as runs of two blocks each: every entry goes to each pair that its
+    block is part of, and a pair of different blocks looks at pairs across only."""
+    n = F.ceil(2 * F.col("count") / bucket_rows)
+    mine = skew_join(entries, sizes.select("p", "key", n.cast("int").alias("blocks")), ["p", "key"])
+    mine = mine.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    mine = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    half = F.when(low == high, -1).otherwise((F.col("block") == high).cast("int"))
+    return mine.select("p", F.xxhash64("key", low, high).alias("key"), "far", "fp", "fp2", half.alias("half"))
 
 
-def near_links(nodes: DataFrame, tau: int = TAU, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Links ``(a, b)`` spanning every set of distinct ``nodes(fp)`` joined by steps of ``tau`` bits."""
+def near_links(nodes: DataFrame, tau: int = TAU, wide: int | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Links ``(a, b)`` spanning every set of distinct ``nodes(fp, fp2)`` joined by steps of ``tau`` bits."""
     spark = nodes.sparkSession
     n = nodes.count()
     if n < 2:
         return spark.range(0).select(F.col("id").alias("a"), F.col("id").alias("b"))
     groups, thresholds = plan(nodes, n, tau)
-    # An entry that a probe made carries the value it asks for; the exact entry its own.
-    probes = [F.transform(_flips(F.col("fp"), g, t), _entry(p, g)) for p, (g, t) in enumerate(zip(groups, thresholds, strict=True)) if t >= 0]
-    entries = nodes.select("fp", F.explode(F.concat(*probes)).alias("e")).select("e.p", "e.key", "e.exact", "fp")
-    hot = cut(entries.groupBy("p", "key").count().where(F.col("count") > bucket_rows).select("p", "key", F.lit(True).alias("is_hot")), "hot")
+    all_entries = F.concat(*[_entries(p, g, t) for p, (g, t) in enumerate(zip(groups, thresholds, strict=True)) if t >= 0])
+    entries = nodes.select("fp", "fp2", F.explode(all_entries).alias("e")).select("e.p", "e.key", "e.far", "fp", "fp2")
+    hot = cut(entries.groupBy("p", "key").count().where(F.col("count") > bucket_rows), "hot")
     some_hot = not hot.isEmpty()
-    usual = skew_join(entries, hot, ["p", "key"], "left").where("is_hot is null") if some_hot else entries
+    usual = skew_join(entries, hot, ["p", "key"], "left").where("count is null").drop("count") if some_hot else entries
+    usual = usual.withColumn("half", F.lit(-1))
+    hubs = tau <= HUB_TAU and wide is None
+    if some_hot and not hubs:
+        usual = usual.select("p", "key", "far", "fp", "fp2", "half").union(_block_pairs(entries, hot, bucket_rows))
     # The exchange brings a bucket's entries to one task, the sort inside it side by side.
-    runs = usual.repartition(shuffle_partitions(spark), "p", "key").sortWithinPartitions("p", "key", "fp").select("p", "key", "exact", "fp")
-    links = runs.mapInArrow(_link_batches(tau), "a long, b long")
-    if some_hot:
+    runs = usual.repartition(shuffle_partitions(spark), "p", "key").sortWithinPartitions("p", "key", "fp").select("p", "key", "far", "half", "fp", "fp2")
+    links = runs.mapInArrow(_link_batches(tau, wide, thresholds), "a long, b long")
+    if some_hot and hubs:
         # Without flips all members agree on the partition's own bits.
         free = [[b for b in range(BITS) if t > 0 or b not in g] for g, t in zip(groups, thresholds, strict=True)]
         links = links.union(_hub_links(skew_join(entries, hot, ["p", "key"]), tau, free))
     return links
 
 
-def simhash_dedup(docs: DataFrame, width: int = 3, tau: int = TAU) -> DataFrame:
+def simhash_dedup(docs: DataFrame, width: int = 3, tau: int = TAU, wide: int | None = None) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, uid, fingerprint, component_id, kept.
 
     ``kept`` marks one row per component, that of the smallest id."""
     text = F.coalesce(F.col("text"), F.lit(""))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("xh"), F.monotonically_increasing_id().alias("uid"))
-    fps = cut(base.mapInArrow(_simhash_batches(width), FP_SCHEMA), "fps")
-    nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("low"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("first")), "nodes")
-    links = components(near_links(nodes.select("fp"), tau))
+    fps = cut(base.mapInArrow(_simhash_batches(width, (SEED,) if wide is None else (SEED, SEED + 1)), FP_SCHEMA), "fps")
+    nodes = cut(fps.groupBy("fp").agg(F.min("fp2").alias("fp2"), F.min("doc_id").alias("low"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("first")), "nodes")
+    links = components(near_links(nodes.select("fp", "fp2"), tau, wide))
     rooted = nodes.join(links, nodes.fp == links.node, "left").select("fp", "low", "first", F.coalesce("root", "fp").alias("root"))
     roots = rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.min("first").alias("first"))
     classes = skew_join(rooted.select("fp", "root"), roots, ["root"])
@@ -294,12 +337,12 @@ def simhash_dedup(docs: DataFrame, width: int = 3, tau: int = TAU) -> DataFrame:
     )
 
 
-def keep_one(docs: DataFrame, width: int = 5, tau: int = TAU) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = 5, tau: int = NEAR_TAU, wide: int | None = NEAR_WIDE) -> DataFrame:
     """The rows of ``docs`` that stay, one per component, all columns.
 
     Rows are found again by id and text hash; of repeated rows that agree on both, one stays."""
     names = docs.columns
     keyed = docs.select("*", F.col("doc_id").cast("long").alias("_d"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("_h"))
-    rows = simhash_dedup(docs, width, tau).where("kept").select(F.col("doc_id").alias("_kd"), F.col("xh").alias("_kh"))
+    rows = simhash_dedup(docs, width, tau, wide).where("kept").select(F.col("doc_id").alias("_kd"), F.col("xh").alias("_kh"))
     joined = keyed.join(rows, F.col("_d").eqNullSafe(F.col("_kd")) & (F.col("_h") == F.col("_kh")), "left_semi")
     return joined.dropDuplicates(["_d", "_h"]).select(*names)
