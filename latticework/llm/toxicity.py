@@ -30,8 +30,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE = 2_000
-SAMPLE_CHARS = 20_000_000
+SAMPLE = 1_500
+SAMPLE_CHARS = 12_000_000
+FIT_TOKENS = 150_000
 THRESHOLD = 0.3
 MIN_SUPPORT = 2
 MIN_LOG_ODDS = 2.5
@@ -150,50 +151,76 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 40) -> Model:
     y = np.array(toxic, dtype=float)
     if not len(y) or y.min() == y.max():
         return Model({}, 0.0, np.ones((2, 2)), (0.0, 0.0, 0.0), trained=False)
-    docs = [WORD.findall(x.lower()) for x in texts]
-    support = [Counter(), Counter()]
-    for words, label in zip(docs, toxic, strict=True):
-        support[label].update({f for w in set(words) for f in features(w)})
     n = [max(1, int((y == k).sum())) for k in (0, 1)]
-    odds = {f: np.log((c + 0.1) / (n[1] + 0.2)) - np.log((support[0][f] + 0.1) / (n[0] + 0.2)) for f, c in support[1].items() if c >= MIN_SUPPORT}
+    support = [Counter(), Counter()]
+    for label in (1, 0):  # features that no toxic document has carry no weight
+        for text, own in zip(texts, toxic, strict=True):
+            if own == label:
+                seen = {f for w in set(WORD.findall(text.lower())) for f in features(w)}
+                support[label].update(seen if label else [f for f in seen if f in support[1]])
+        if label:
+            support[1] = Counter({f: c for f, c in support[1].items() if c >= MIN_SUPPORT})
+    odds = {f: np.log((c + 0.1) / (n[1] + 0.2)) - np.log((support[0][f] + 0.1) / (n[0] + 0.2)) for f, c in support[1].items()}
     strong = {f for f, o in odds.items() if o >= MIN_LOG_ODDS}
     known = sorted(odds)
     column = {f: i for i, f in enumerate(known)}
+    # Words without a known feature share entry 0.
     vocabulary: dict[str, int] = {}
-    ids = np.array([vocabulary.setdefault(w, len(vocabulary)) for words in docs for w in words], dtype=np.int64)
-    lengths = np.array([len(w) for w in docs])
-    row, col, hot = [], [], np.zeros(len(vocabulary), bool)
-    for w, i in vocabulary.items():
-        own = features(w)
-        hot[i] = any(f in strong for f in own)
-        for f in own:
-            if f in column:
-                row.append(i)
-                col.append(column[f])
-    row, col = np.array(row, np.int64), np.array(col, np.int64)
-    labels = (hot[ids] & (np.repeat(y, lengths) > 0)).astype(float)
-    first = np.zeros(len(ids), bool)
-    first[np.concatenate(([0], np.cumsum(lengths[lengths > 0])[:-1]))] = True
-    seen = np.zeros((2, 2))
-    before, after, inside = labels[:-1].astype(int), labels[1:].astype(int), ~first[1:]
-    np.add.at(seen, (before[inside], after[inside]), 1)
-    weight, bias, log_t = np.zeros(len(known)), 0.0, np.zeros((2, 2))
-    params = np.concatenate((weight, [bias], log_t.ravel()))
+    row, col, hot = [], [], [False]
+
+    def number(word: str) -> int:
+        at = vocabulary.get(word)
+        if at is None:
+            own = [column[f] for f in features(word) if f in column]
+            at = len(hot) if own else 0
+            if own:
+                hot.append(any(f in strong for f in features(word)))
+                row.extend([at] * len(own))
+                col.extend(own)
+                vocabulary[word] = at
+        return at
+
+    # Blocks of whole documents bound what a pass holds.
+    blocks: list[tuple[np.ndarray, np.ndarray]] = []
+    ids, lengths = [], []
+    for text in texts:
+        words = [number(w) for w in WORD.findall(text.lower())]
+        ids += words
+        lengths.append(len(words))
+        if len(ids) >= FIT_TOKENS:
+            blocks.append((np.array(ids, np.int32), np.array(lengths)))
+            ids, lengths = [], []
+    blocks.append((np.array(ids, np.int32), np.array(lengths, np.int64)))
+    row, col, hot = np.array(row, np.int64), np.array(col, np.int64), np.array(hot)
+    labels, moves, done = [], np.zeros((2, 2)), 0
+    for ids, lengths in blocks:
+        own = (hot[ids] & (np.repeat(y[done : done + len(lengths)], lengths) > 0)).astype(np.int8)
+        done += len(lengths)
+        inside = np.ones(max(0, len(ids) - 1), bool)
+        inside[np.cumsum(lengths)[:-1][(np.cumsum(lengths)[:-1] > 0) & (np.cumsum(lengths)[:-1] < len(ids))] - 1] = False
+        np.add.at(moves, (own[:-1][inside], own[1:][inside]), 1)
+        labels.append(own)
+    params = np.zeros(len(known) + 5)  # feature weights, bias, log transitions
     mean, var = np.zeros_like(params), np.zeros_like(params)
-    scale = max(1.0, labels.sum())
+    scale = max(1.0, float(sum(int(x.sum()) for x in labels)))
     for k in range(1, rounds + 1):
-        per_word = np.bincount(row, params[col], len(vocabulary)) + params[-5]
-        prob, moved = marginals(per_word[ids], lengths, np.exp(params[-4:].reshape(2, 2)))
-        by_word = np.bincount(ids, prob - labels, len(vocabulary))
-        grad = np.concatenate((np.bincount(col, by_word[row], len(known)), [by_word.sum()], (moved - seen).ravel())) / scale
+        per_word = np.bincount(row, params[col], len(hot)) + params[-5]
+        t = np.exp(params[-4:].reshape(2, 2))
+        by_word, moved = np.zeros(len(hot)), np.zeros((2, 2))
+        for (ids, lengths), own in zip(blocks, labels, strict=True):
+            prob, expected = marginals(per_word[ids], lengths, t)
+            by_word += np.bincount(ids, prob - own, len(hot))
+            moved += expected
+        grad = np.concatenate((np.bincount(col, by_word[row], len(known)), [by_word.sum()], (moved - moves).ravel())) / scale
         grad[: len(known)] += 0.002 * params[: len(known)]
         mean, var = 0.8 * mean + 0.2 * grad, 0.95 * var + 0.05 * grad**2
         params = params - 0.35 * (mean / (1 - 0.8**k)) / (np.sqrt(var / (1 - 0.95**k)) + 1e-8)
     keep = np.abs(params[: len(known)]) > 1e-3
     weights = {f: float(params[i]) for i, f in enumerate(known) if keep[i]}
     t = np.exp(params[-4:].reshape(2, 2))
-    per_word = np.bincount(row, params[col], len(vocabulary)) + params[-5]
-    x = np.column_stack([np.ones(len(docs)), document_features(marginals(per_word[ids], lengths, t)[0], lengths)])
+    per_word = np.bincount(row, params[col], len(hot)) + params[-5]
+    told = [document_features(marginals(per_word[ids], lengths, t)[0], lengths) for ids, lengths in blocks]
+    x = np.column_stack([np.ones(len(y)), np.concatenate(told)])
     beta = np.zeros(3)
     for _ in range(25):  # ridge logistic regression by Newton steps
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
