@@ -48,7 +48,7 @@ class Utm:
         for k, b in enumerate(self.beta, start=1):
             u -= b * np.sin(2 * k * xi) * np.cosh(2 * k * eta)
             v -= b * np.cos(2 * k * xi) * np.sinh(2 * k * eta)
-        t = np.sin(u) / np.hypot(np.sinh(v), np.cos(u))
+        t = np.sin(u) / np.cosh(v)
         lon = self.lon0 + np.arctan2(np.sinh(v), np.cos(u))
         sin_lat = t
         for _ in range(8):  # isometric latitude back to the geographic one

@@ -43,6 +43,6 @@ def classify(df: DataFrame, column: str, method: str = "quantiles", k: int = 5,
         return df.withColumns({"class_index": one, "class_low": F.when(one.isNotNull(), edges[0]), "class_high": F.when(one.isNotNull(), edges[1]), out: F.when(one.isNotNull(), SINGLE)})
     index = F.when(value.isNotNull(), sum(((value > e).cast("int") for e in edges[1:-1]), F.lit(0)))
     span = None if method == "quantiles" else 0.001 * (edges[-1] - edges[0])
-    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), index + 1)
+    pick = lambda values: F.when(value.isNotNull(), F.element_at(F.array(*map(F.lit, values)), index + 1))
     labels = [label(a, b, j == 0, span) for j, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
     return df.withColumns({"class_index": index, "class_low": pick(edges[:-1]), "class_high": pick(edges[1:]), out: pick(labels)})

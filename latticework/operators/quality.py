@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import DataContractError
+from .lineage import cut
 
 
 def normal_key(column: str | Column) -> Column:
@@ -89,6 +90,7 @@ def dense_index(df: DataFrame, order: str) -> DataFrame:
     A range exchange sorts the rows; partition counts (one small row each) give the offsets."""
     ranged = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_m", F.monotonically_increasing_id())
     split = ranged.withColumn("_p", F.shiftright("_m", 33)).withColumn("_r", F.col("_m").bitwiseAND((1 << 33) - 1))
+    split = cut(split)  # read twice below; adaptive plans could number its partitions differently
     counts = split.groupBy("_p").agg(F.count("*").alias("_n"))
     # One row per partition.
     starts = counts.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_s"))

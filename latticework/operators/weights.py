@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import WeightsError
+from .lineage import cut
 from .quality import normal_key
 
 ROOK = ((-1, 0), (1, 0), (0, -1), (0, 1))
@@ -104,15 +105,15 @@ def nearest(query: DataFrame, reference: DataFrame, k: int, same: bool = False,
     reach = 2 * math.hypot(max(told.x1, box.x1) - min(told.x0, box.x0), max(told.y1, box.y1) - min(told.y0, box.y0)) + spread
     size = spread * math.sqrt(max(1.0, k) / told.n)
     order = Window.partitionBy("i").orderBy("d2", "j")
-    left, done = query, None
+    left, done = query.select("i", "x", "y"), None
     for _ in range(max_rounds):
         pairs = near_pairs(left, reference, size)
         if same:
             pairs = pairs.where("i <> j")
         best = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        best = best.withColumn("found", F.max("rank").over(Window.partitionBy("i"))).where(F.col("found") == k).drop("found").cache()
+        best = cut(best.withColumn("found", F.max("rank").over(Window.partitionBy("i"))).where(F.col("found") == k).drop("found"))
         done = best if done is None else done.unionByName(best)
-        left = left.join(best.where("rank = 1").select("i"), "i", "left_anti").cache()
+        left = cut(left.join(best.where("rank = 1").select("i"), "i", "left_anti"))
         if size >= reach or left.isEmpty():
             break
         size *= 2
@@ -176,29 +177,19 @@ def components(edges: DataFrame, units: DataFrame, max_rounds: int = 100) -> Dat
     Labels fall to the smallest of the neighbourhood and then jump to their label's label, so
     rounds grow with the logarithm of a component's diameter; each round is checkpointed."""
     both = edges.where("i <> j").select("i", "j").union(edges.select(F.col("j").alias("i"), F.col("i").alias("j"))).distinct()
-    both = _cut(both)
-    labels = _cut(units.select("i", F.col("i").alias("component")))
+    both = cut(both)
+    labels = cut(units.select("i", F.col("i").alias("component")))
     for _ in range(max_rounds):
         near = both.join(labels.select(F.col("i").alias("j"), F.col("component").alias("c")), "j").groupBy("i").agg(F.min("c").alias("c"))
         lower = labels.join(near, "i", "left").select("i", "component", F.least("component", F.coalesce("c", "component")).alias("low"))
         jump = lower.select(F.col("i").alias("low"), F.col("low").alias("up"))
-        step = _cut(lower.join(jump, "low").select("i", F.col("up").alias("component"), (F.col("up") < F.col("component")).alias("moved")))
+        step = cut(lower.join(jump, "low").select("i", F.col("up").alias("component"), (F.col("up") < F.col("component")).alias("moved")))
         labels = step.select("i", "component")
         if not step.where("moved").limit(1).count():
             return labels
     raise WeightsError("components did not settle")
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder; a temporary one only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if not (sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()):
-        import tempfile
-
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="latticework-"))
-    return df.checkpoint()
-
-
 def diagnostics(edges: DataFrame, units: DataFrame) -> DataFrame:
     """One row: n, s0, islands, components, largest_component, min/mean/max_neighbors."""
     counts = cardinalities(edges, units).agg(

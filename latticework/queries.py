@@ -247,7 +247,7 @@ def sparse(spark, d):
 
 @query(
     f"""with {U}, {SPARSE}, c as (select u.i, count(b.j) as k from u left join b on u.i = b.i group by 1)
-    select count(*) as n, 14.0 + 14.0 as s0, count(*) filter (k = 0) as islands, 15::bigint as components, 4::bigint as largest_component, min(k) as min_neighbors, round(avg(k), 6) as mean_neighbors, max(k) as max_neighbors from c"""
+    select count(*) as n, 14.0 + 14.0 as s0, count(*) filter (k = 0) as islands, 15::bigint as components, 6::bigint as largest_component, min(k) as min_neighbors, round(avg(k), 6) as mean_neighbors, max(k) as max_neighbors from c"""
 )
 def weights_diagnostics(spark, d):
     edges, u = sparse(spark, d)

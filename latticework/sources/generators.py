@@ -1,0 +1,82 @@
+"""Synthetic points and demonstration lattices, the same for any partitioning."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .readers import SpatialDataset
+
+
+def uniform(seed: int, name: str) -> Column:
+    """Uniform in (0, 1) from a hash of the row's index."""
+    h = F.xxhash64(F.lit(seed), F.lit(name), F.col("i"))
+    return (F.shiftrightunsigned(h, 11).cast("double") + 0.5) / float(1 << 53)
+
+
+def normal(seed: int, name: str) -> Column:
+    """Standard normal by Box and Muller."""
+    return F.sqrt(-2 * F.log(uniform(seed, name + "-r"))) * F.cos(2 * math.pi * uniform(seed, name + "-a"))
+
+
+def synthetic_points(spark: SparkSession, n: int = 600, seed: int = 0) -> SpatialDataset:
+    """Covariates and a target with a smooth spatial surface and normal noise of 0.22."""
+    rows = spark.range(n).withColumnRenamed("id", "i").select(
+        "i",
+        F.exp(1.2 + 0.45 * normal(seed, "income")).alias("MedInc"),
+        (1 + 51 * uniform(seed, "age")).alias("HouseAge"),
+        (5.2 + 1.1 * normal(seed, "rooms")).alias("AveRooms"),
+        F.exp(7 + 0.6 * normal(seed, "people")).alias("Population"),
+        (-124 + 10 * uniform(seed, "lon")).alias("Longitude"),
+        (32 + 10 * uniform(seed, "lat")).alias("Latitude"),
+    )
+    u, v = (F.col("Longitude") + 124) / 10, (F.col("Latitude") - 32) / 10
+    surface = 0.8 * F.sin(2 * math.pi * u) + 0.6 * F.cos(2 * math.pi * v)
+    target = 1.5 + 0.5 * F.log1p("MedInc") - 0.006 * F.col("HouseAge") + 0.05 * F.col("AveRooms") + surface + 0.22 * normal(seed, "noise")
+    return SpatialDataset(rows.withColumn("MedHouseVal", target), "MedHouseVal", ("Longitude", "Latitude"))
+
+
+def lattice(spark: SparkSession, rows: int, cols: int, size: float = 1.0) -> DataFrame:
+    """Units ``(i, id, row, col, x0, y0, x1, y1)`` of a lattice of boxes."""
+    cells = spark.range(rows * cols).select(F.col("id").alias("i"), F.floor(F.col("id") / cols).alias("row"), (F.col("id") % cols).alias("col"))
+    corner = lambda c, step: (F.col(c) + step) * size
+    return cells.select("i", F.concat_ws("-", "row", "col").alias("id"), "row", "col", corner("col", 0).alias("x0"), corner("row", 0).alias("y0"), corner("col", 1).alias("x1"), corner("row", 1).alias("y1"))
+
+
+def preparation_demo(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """A 3 x 3 lattice of 0.01 degree boxes and its attribute table."""
+    from ..operators.geometry import box
+
+    cells = lattice(spark, 3, 3, 0.01)
+    shapes = cells.select(F.concat(F.lit("T"), F.lpad((F.col("i") + 1).cast("string"), 2, "0")).alias("id_territorio"), "row", "col", box(F.col("x0") - 47.9, F.col("y0") - 15.8, F.col("x1") - 47.9, F.col("y1") - 15.8).alias("geom"))
+    table = shapes.select("id_territorio", (10 + 8 * F.col("row") + 3 * F.col("col")).cast("int").alias("indicador"), (1000 + 500 * F.col("row") + 250 * F.col("col")).cast("int").alias("populacao"))
+    return shapes.drop("row", "col"), table
+
+
+def autocorrelation_demo(spark: SparkSession) -> DataFrame:
+    """A 4 x 4 lattice with a gradient and a detached island."""
+    from ..operators.geometry import box
+
+    cells = lattice(spark, 4, 4, 1000.0).select("id", (100 - 12.0 * F.col("row") - 9.0 * F.col("col")).alias("indicador"), "x0", "y0", "x1", "y1")
+    island = spark.range(1).select(F.lit("ILHA").alias("id"), F.lit(52.0).alias("indicador"), *[F.lit(v).alias(c) for c, v in (("x0", 20000.0), ("y0", 20000.0), ("x1", 21000.0), ("y1", 21000.0))])
+    return cells.unionByName(island).select("id", "indicador", box(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")).alias("geom"))
+
+
+def regression_demo(spark: SparkSession, rows: int = 8, cols: int = 8, seed: int = 20260001) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Units with x1, x2, a spatial component and y, and rook and queen edge lists."""
+    from ..operators.weights import lattice_contiguity
+
+    cells = lattice(spark, rows, cols)
+    z = F.sin(F.col("row") / 2.0) + F.cos(F.col("col") / 2.0)
+    units = cells.withColumn("x1", normal(seed, "x1")).withColumn("x2", uniform(seed, "x2")).withColumn("z_spatial", z)
+    units = units.withColumn("y", 2 + 1.5 * F.col("x1") - F.col("x2") + F.col("z_spatial") + 0.3 * normal(seed, "e"))
+    names = units.select("i", "id")
+
+    def edges(kind: str) -> DataFrame:
+        e = lattice_contiguity(cells, kind)
+        named = e.join(names.select("i", F.col("id").alias("origin_id")), "i").join(names.select(F.col("i").alias("j"), F.col("id").alias("destination_id")), "j")
+        return named.select("origin_id", "destination_id", "weight")
+
+    return units, edges("rook"), edges("queen")
