@@ -43,12 +43,14 @@ from .common import components, cut, shuffle_partitions, skew_join
 BITS, TAU = 64, 3
 BUCKET_ROWS = 1 << 14
 MAX_RADIUS = 2
+# An entry is exploded, exchanged and sorted; a candidate is one step of a vector.
+ENTRY_COST = 300
 SEED = 42
 FP_SCHEMA = "doc_id long, xh long, uid long, fp long, fp2 long"
 HUB_TAU = 3
 # For shingles of five words and a Jaccard similarity of 0.8 the two fingerprints of a pair
-# differ in about 9.6 bits of 64 each.
-NEAR_TAU, NEAR_WIDE = 11, 24
+# differ in about 9.6 bits of 64 each, with a deviation near 2.8.
+NEAR_TAU, NEAR_WIDE = 14, 28
 
 
 def simhash(text: bytes, width: int, seeds: tuple[int, ...] = (SEED,), block: int = 1 << 17) -> list[int]:
@@ -114,8 +116,8 @@ def ball_counts(hist: np.ndarray, radius: int) -> list[float]:
     return np.cumsum([float((hist * s).sum()) for s in shells]).tolist()
 
 
-def allocate(costs: list[list[float]], total: int) -> list[int]:
-    """Thresholds of least summed cost; ``costs[i][t + 1]`` is the cost of threshold t in partition i."""
+def allocate(costs: list[list[float]], total: int) -> tuple[float, list[int]]:
+    """The least summed cost and its thresholds; ``costs[i][t + 1]`` is the cost of threshold t in partition i."""
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
     for row in costs:
         step: dict[int, tuple[float, list[int]]] = {}
@@ -124,7 +126,7 @@ def allocate(costs: list[list[float]], total: int) -> list[int]:
                 if have + t not in step or cost + c < step[have + t][0]:
                     step[have + t] = (cost + c, [*chosen, t])
         best = step
-    return best[total][1]
+    return best[total]
 
 
 def _co_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,23 +160,30 @@ def plan(nodes: DataFrame, n: int, tau: int = TAU) -> tuple[list[list[int]], lis
     """Bit partitions and thresholds.  Estimates are gathered from all fingerprints; their
     tables are bounded (64 x 64 counts; at most 2**16 values a partition), and they steer
     cost only, never results."""
-    m = 4 if n <= 1 << 24 else 3 if n <= 1 << 34 else 2
     co = np.zeros((BITS, BITS), np.int64)
     for r in nodes.mapInArrow(_co_batches, "i int, j int, n long, rows long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect():
         co[r.i, r.j] = r.n
-    groups = bit_groups(co, co.diagonal().astype(float), n, m)
-    costs = []
-    seen = [g[:16] for g in groups]
-    values = F.explode(F.array(*[F.struct(F.lit(k).alias("p"), _gather(F.col("fp"), g).alias("v")) for k, g in enumerate(seen)])).alias("e")
-    hist = [np.zeros(1 << len(g)) for g in seen]
-    for r in nodes.select(values).groupBy("e.p", "e.v").count().collect():
-        hist[r.p][r.v] = r["count"]
-    for g, h in zip(groups, hist, strict=True):
-        narrowed = 2.0 ** (len(g) - min(len(g), 16))
-        probes = np.cumsum([math.comb(len(g), r) for r in range(MAX_RADIUS + 1)])
-        # A pair at distance d below the threshold meets at several values; counting it at each is the price of few entries.
-        costs.append([0.0] + [(c / narrowed) * (1 if t < 2 else len(g) / 2) + 40 * n * float(probes[-(-t // 2)]) for t, c in enumerate(ball_counts(h, min(tau, 2 * MAX_RADIUS)))])
-    return groups, allocate(costs, tau - m + 1)
+    best = None
+    for m in (4, 5) if n <= 1 << 24 else (3, 4) if n <= 1 << 34 else (2, 3):
+        if tau - m + 1 < -m:
+            continue
+        groups = bit_groups(co, co.diagonal().astype(float), n, m)
+        seen = [g[:16] for g in groups]
+        values = F.explode(F.array(*[F.struct(F.lit(k).alias("p"), _gather(F.col("fp"), g).alias("v")) for k, g in enumerate(seen)])).alias("e")
+        hist = [np.zeros(1 << len(g)) for g in seen]
+        for r in nodes.select(values).groupBy("e.p", "e.v").count().collect():
+            hist[r.p][r.v] = r["count"]
+        costs = []
+        for g, h in zip(groups, hist, strict=True):
+            narrowed = 2.0 ** (len(g) - min(len(g), 16))
+            entries = np.cumsum([math.comb(len(g), r) for r in range(MAX_RADIUS + 1)])
+            # A pair below the threshold meets at several values; that is the price of few entries.
+            balls = ball_counts(h, min(tau, 2 * MAX_RADIUS))
+            costs.append([0.0] + [(c / narrowed) * (1 if t < 2 else len(g) / 2) + ENTRY_COST * n * float(entries[-(-t // 2)]) for t, c in enumerate(balls)])
+        cost, chosen = allocate(costs, tau - m + 1)
+        if best is None or cost < best[0]:
+            best = (cost, groups, chosen)
+    return best[1], best[2]
 
 
 def _forest(a: np.ndarray, b: np.ndarray, label: np.ndarray) -> None:
