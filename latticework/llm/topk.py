@@ -16,7 +16,8 @@ Query blocks meet candidate blocks, never rows rows; a block holds a bounded num
 Defined results: vectors that are null or hold null or non-finite components take no part, nor
 do rows without an id; shorter vectors count as padded with zeros; candidates with the query's
 id are its own; a repeated query id is asked once; ties go to the smaller id; queries without
-candidates, and empty tables, give no rows; other columns are not read.
+candidates, and empty tables, give no rows; components beyond 2^61 count as 2^61 and scores
+beyond a long as the nearest one; other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ from .common import cut, shuffle_partitions
 BLOCK_VALUES = 1 << 17
 CHUNK = 16
 PAIR_ROWS = 8
+MOST = (1 << 63) - 1
 BLOCK_SCHEMA = "block long, n int, d int, ids binary, impacts binary"
 TOP_SCHEMA = "query_id long, vec_id long, score long"
 
@@ -114,7 +116,7 @@ class Shard:
             seeds = np.unique(np.concatenate(seeds))
             seeds = seeds[others[seeds]]
             if len(seeds) >= k:
-                threshold = np.sort(rows[seeds] @ weights)[-k]
+                threshold = min(np.sort(rows[seeds] @ weights)[-k], MOST)
         alive = others.copy()
         if threshold is not None:
             # bound[i]: what the terms from i on can add to the base at most
@@ -137,9 +139,9 @@ class Shard:
         rest = np.setdiff1d(np.flatnonzero(q), terms)
         if len(rest):  # weights whose dimension never exceeds the base
             partial = partial + (rows[np.ix_(at, rest)] - median[rest]) @ weights[rest]
-        best = np.lexsort((self.ids[at], -partial))[:k]
-        limit = (1 << 63) - 1
-        return self.ids[at[best]], np.array([max(-limit, min(limit, int(s))) for s in partial[best]], np.int64)
+        scores = partial.astype(np.int64) if kind is float else np.array([max(-MOST, min(MOST, int(s))) for s in partial], np.int64)
+        best = np.lexsort((self.ids[at], -scores))[:k]
+        return self.ids[at[best]], scores[best]
 
 
 def _pair_batches(k: int):

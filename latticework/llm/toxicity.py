@@ -3,8 +3,8 @@
 A two-state chain (clean, toxic) runs over the words of a text.  A word's emission weight is
 the sum of the weights of its features: the word itself and its prefixes of four to seven
 letters.  Word labels for training come from document labels: in a toxic document a word is
-labelled toxic if one of its features is much more frequent in toxic than in clean training
-documents; in a clean document no word is.  Forward-backward marginals give each word a
+labelled toxic if one of its features is much and significantly more frequent there than in
+clean training documents; in a clean document no word is.  Forward-backward marginals give each word a
 probability; a small logistic model turns a document's largest marginal and its expected
 number of toxic words into the document's score; words above one half are the offending spans.
 
@@ -36,6 +36,7 @@ FIT_TOKENS = 150_000
 THRESHOLD = 0.3
 MIN_SUPPORT = 2
 MIN_LOG_ODDS = 2.5
+MIN_DOCS, MIN_Z = 3, 3.5
 PREFIXES = (4, 5, 6, 7)
 SCAN_TOKENS = 1 << 19
 CACHE_WORDS = 300_000
@@ -160,8 +161,15 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 40) -> Model:
                 support[label].update(seen if label else [f for f in seen if f in support[1]])
         if label:
             support[1] = Counter({f: c for f, c in support[1].items() if c >= MIN_SUPPORT})
-    odds = {f: np.log((c + 0.1) / (n[1] + 0.2)) - np.log((support[0][f] + 0.1) / (n[0] + 0.2)) for f, c in support[1].items()}
-    strong = {f for f, o in odds.items() if o >= MIN_LOG_ODDS}
+    odds = {f: np.log((c + 0.5) / (n[1] + 1)) - np.log((support[0][f] + 0.5) / (n[0] + 1)) for f, c in support[1].items()}
+    share = n[1] / (n[0] + n[1])
+
+    def above(f: str) -> float:
+        """Deviations of a feature's toxic documents above what their share explains."""
+        c = support[0][f] + support[1][f]
+        return (support[1][f] - share * c) / (share * (1 - share) * c) ** 0.5
+
+    strong = {f for f, o in odds.items() if o >= MIN_LOG_ODDS and support[1][f] >= MIN_DOCS and above(f) >= MIN_Z}
     known = sorted(odds)
     column = {f: i for i, f in enumerate(known)}
     # Words without a known feature share entry 0.
