@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import DataContractError, WeightsError
+from .lineage import cut
 from .weights import cardinalities, lag
 
 DIGITS = 10
@@ -164,7 +165,7 @@ def local_moran(units: DataFrame, edges: DataFrame, permutations: int = 99, seed
     sims = conditional_values(units, edges, permutations, seed).join(units.select("i", "z"), "i").select("i", F.round(F.col("z") * F.col("slag") / m2, DIGITS).alias("sim"))
     tested = _two_sided(sims, base.select("i", F.col("local_moran").alias("obs")), permutations)
     told = base.join(tested, "i", "left").withColumn("p_value", F.when(F.col("neighbors") == 0, 1.0).otherwise(F.col("p_value")))
-    told = benjamini_hochberg(told)
+    told = benjamini_hochberg(cut(told))  # read twice there
     told = told.withColumn("significant", (F.col("q_value" if fdr else "p_value") <= alpha) & (F.col("neighbors") > 0))
     return told.withColumn("cluster", _label(F.col("z"), F.col("spatial_lag_z"), F.col("significant"), F.col("neighbors") == 0)).select(
         "i", "value", "z", "spatial_lag_z", "local_moran", "p_value", "q_value", "significant", "cluster", "neighbors"
@@ -173,8 +174,8 @@ def local_moran(units: DataFrame, edges: DataFrame, permutations: int = 99, seed
 
 def _two_sided(sims: DataFrame, observed: DataFrame, permutations: int) -> DataFrame:
     """``(i, p_value)`` about the mean of each unit's simulated values."""
-    means = sims.groupBy("i").agg(F.round(F.avg("sim"), DIGITS).alias("mid"))
-    joined = sims.join(means.join(observed, "i"), "i")
+    mid = F.round(F.avg("sim").over(Window.partitionBy("i")), DIGITS)
+    joined = sims.withColumn("mid", mid).join(observed, "i")
     extreme = F.round(F.abs(F.col("sim") - F.col("mid")), DIGITS) >= F.round(F.abs(F.col("obs") - F.col("mid")), DIGITS)
     return joined.groupBy("i").agg(((F.count_if(extreme) + 1) / F.lit(permutations + 1)).alias("p_value"))
 
@@ -218,7 +219,8 @@ def getis_ord(units: DataFrame, edges: DataFrame, permutations: int = 99, seed:
 
     observed = g(values, []).select("i", F.col("g").alias("g_star"), "neighbors_with_self").join(units.select("i", F.col(column).alias("value")), "i")
     sims = g(permuted(units, permutations, seed, column), ["p"]).select("i", F.col("g").alias("sim"))
-    told = benjamini_hochberg(observed.join(_two_sided(sims, observed.select("i", F.col("g_star").alias("obs")), permutations), "i"))
+    observed = cut(observed)
+    told = benjamini_hochberg(cut(observed.join(_two_sided(sims, observed.select("i", F.col("g_star").alias("obs")), permutations), "i")))
     told = told.withColumn("significant", F.col("q_value" if fdr else "p_value") <= alpha)
     kind = F.when(~F.col("significant"), "NS").when(F.col("g_star") > 0, "Hot").otherwise("Cold")
     return told.withColumn("classification", kind).select("i", "value", "g_star", "p_value", "q_value", "significant", "classification", "neighbors_with_self")
