@@ -252,8 +252,8 @@ def lm_tests(f: Fit, edges: DataFrame, index: str = "i") -> dict[str, float]:
     x = design(f.terms)
     rows = f.rows.withColumn("_i", F.col(index))
     values = rows.select(F.col("_i").alias("j"), F.col("residual").alias("uj"), F.col(f.target).alias("yj"), F.col("fitted").alias("fj"))
-    lags = edges.join(values, "j").groupBy("i").agg(*[F.sum(F.col("weight") * F.col(c)).alias(f"l{c}") for c in ("uj", "yj", "fj")])
-    both = rows.join(lags, rows["_i"] == lags["i"] if "i" in rows.columns else F.col("_i") == lags["i"], "left").select(*[c.alias(f"x{a}") for a, c in enumerate(x)], "residual", *[F.coalesce(f"l{c}", F.lit(0.0)).alias(f"l{c}") for c in ("uj", "yj", "fj")])
+    lags = edges.join(values, "j").groupBy(F.col("i").alias("_li")).agg(*[F.sum(F.col("weight") * F.col(c)).alias(f"l{c}") for c in ("uj", "yj", "fj")])
+    both = rows.join(lags, F.col("_i") == F.col("_li"), "left").select(*[c.alias(f"x{a}") for a, c in enumerate(x)], "residual", *[F.coalesce(f"l{c}", F.lit(0.0)).alias(f"l{c}") for c in ("uj", "yj", "fj")])
     sums = both.agg(
         F.sum(F.col("residual") * F.col("luj")).alias("uwu"), F.sum(F.col("residual") * F.col("lyj")).alias("uwy"), F.sum(F.col("lfj") * F.col("lfj")).alias("vv"), *[F.sum(F.col(f"x{a}") * F.col("lfj")).alias(f"xv{a}") for a in range(f.k)]
     ).first()
