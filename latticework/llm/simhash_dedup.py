@@ -17,12 +17,16 @@ within two bits of one and one bit of the other (in general ``tau - tau // 2`` a
 bucket is cut into blocks and every pair of blocks is a row of its own.  Links are reduced to
 spanning trees in each task before components are found, so no group's pairs are ever emitted.
 
-With ``wide`` a second fingerprint of 64 bits (another seed) confirms candidates: both
-together must differ in at most ``wide`` bits.  Larger ``tau`` needs it, as unrelated
-fingerprints of 64 bits come that close by chance.
+With ``wide``, links are confirmed by a second fingerprint of 64 bits: both together must
+differ in at most ``wide`` bits.
+
+The pipeline's near-dedup stage (``keep_one``) links texts whose sets of shingles have a Jaccard
+similarity of 0.8 or more.  Bits alone lose such pairs and link others, so sets meet by prefix
+filtering, which loses none; sizes and 128 SimHash bits sort out most other pairs (sets of up to
+``SKETCH_FROM`` shingles are never judged by bits); every link is confirmed on the shingles.
 
 Defined results: a null text counts as empty; texts without words have fingerprint zero and
-are linked like any other; rows with a null id take part and carry null; other columns play
+are linked like any other (in the stage with each other only); rows with a null id take part and carry null; other columns play
 no part; no rows give no rows.
 """
 
@@ -48,9 +52,13 @@ ENTRY_COST = 300
 SEED = 42
 FP_SCHEMA = "doc_id long, xh long, uid long, fp long, fp2 long"
 HUB_TAU = 3
-# For shingles of five words and a Jaccard similarity of 0.8 the two fingerprints of a pair
-# differ in about 9.6 bits of 64 each, with a deviation near 2.8.
-NEAR_TAU, NEAR_WIDE = 14, 28
+SET_SCHEMA = "doc_id long, xh long, id long, n int, fp long, fp2 long, prefix array<long>"
+# The pipeline's stage links at a Jaccard similarity of 4 / 5.
+NEAR = (4, 5)
+# The sketches of a pair at 0.8 differ in about 19.4 bits of 128, with a deviation near 4.
+SKETCH_FROM, SKETCH_BITS = 32, 46
+SAMPLE_ROWS, COMMON, COMMON_MOST = 8_000, 4, 100_000
+RUN_SHINGLES = 1 << 22
 
 
 def simhash(text: bytes, width: int, seeds: tuple[int, ...] = (SEED,), block: int = 1 << 17) -> list[int]:
@@ -329,15 +337,15 @@ def near_links(nodes: DataFrame, tau: int = TAU, wide: int | None = None, bucket
     return links
 
 
-def simhash_dedup(docs: DataFrame, width: int = 3, tau: int = TAU, wide: int | None = None) -> DataFrame:
+def simhash_dedup(docs: DataFrame, width: int = 3, tau: int = TAU) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, uid, fingerprint, component_id, kept.
 
     ``kept`` marks one row per component, that of the smallest id."""
     text = F.coalesce(F.col("text"), F.lit(""))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("xh"), F.monotonically_increasing_id().alias("uid"))
-    fps = cut(base.mapInArrow(_simhash_batches(width, (SEED,) if wide is None else (SEED, SEED + 1)), FP_SCHEMA), "fps")
+    fps = cut(base.mapInArrow(_simhash_batches(width, (SEED,)), FP_SCHEMA), "fps")
     nodes = cut(fps.groupBy("fp").agg(F.min("fp2").alias("fp2"), F.min("doc_id").alias("low"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("first")), "nodes")
-    links = components(near_links(nodes.select("fp", "fp2"), tau, wide))
+    links = components(near_links(nodes.select("fp", "fp2"), tau))
     rooted = nodes.join(links, nodes.fp == links.node, "left").select("fp", "low", "first", F.coalesce("root", "fp").alias("root"))
     roots = rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.min("first").alias("first"))
     classes = skew_join(rooted.select("fp", "root"), roots, ["root"])
@@ -346,12 +354,202 @@ def simhash_dedup(docs: DataFrame, width: int = 3, tau: int = TAU, wide: int | N
     )
 
 
-def keep_one(docs: DataFrame, width: int = 5, tau: int = NEAR_TAU, wide: int | None = NEAR_WIDE) -> DataFrame:
-    """The rows of ``docs`` that stay, one per component, all columns.
+def shingles(text: bytes, width: int) -> np.ndarray:
+    """Sorted hashes of the distinct ``width``-word shingles of lower-cased UTF-8."""
+    words = text.lower().split()
+    width = min(width, len(words))
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    first, last = np.concatenate(([0], ends[:-1] + 1))[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(first, last, strict=True)), np.uint64, len(first)))
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Jaccard similarity of two shingle sets of at least 0.8; empty ones are similar to each other only."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return NEAR[1] * both >= NEAR[0] * (len(a) + len(b) - both)
+
+
+def _majority(hashes: np.ndarray, block: int = 1 << 15) -> int:
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), block):
+        ones += np.unpackbits(hashes[at : at + block].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(hashes)).view(np.int64)[0])
+
+
+def sketch(hashes: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit SimHashes of a shingle set; the second is over the hashes mixed anew."""
+    x = (hashes ^ (hashes >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return _majority(hashes), _majority(x ^ (x >> np.uint64(31)))
+
+
+def prefix(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The shingles of which every set with Jaccard 0.8 or more shares one with this one's.
+
+    Sets are taken in one order, the ``common`` (sorted) shingles last.  Such a pair shares
+    ``ceil(0.8 n)`` of either's shingles, so its first common one lies before the rest."""
+    if not len(hashes):
+        return hashes
+    last = np.isin(hashes, common, assume_unique=True)
+    n = len(hashes)
+    return np.concatenate((hashes[~last], hashes[last]))[: n + 1 + -NEAR[0] * n // NEAR[1]]
+
+
+def _count_batches(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t.as_py().encode(), width) for t in batch.column("text")]
+            key, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
+
+    return run
+
+
+def _common(base: DataFrame, width: int) -> np.ndarray:
+    """Shingles that many texts have, from a sample of the rows.  They steer cost only, never results."""
+    step = max(1, base.count() // SAMPLE_ROWS)
+    counts = base.where(F.pmod("xh", F.lit(step)) == 0).select("text").mapInArrow(_count_batches(width), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    rows = counts.where(F.col("n") >= COMMON).orderBy(F.desc("n"), "key").limit(COMMON_MOST).select("key").collect()
+    return np.sort(np.array([r.key for r in rows], np.int64).view(np.uint64))
+
+
+def _set_batches(width: int, common: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = []
+            for t in batch.column("text"):
+                own = shingles(t.as_py().encode(), width)
+                told.append((xxhash.xxh64_intdigest(own.tobytes(), SEED), len(own), *sketch(own), prefix(own, common).view(np.int64)))
+            ids, n, fp, fp2, pre = zip(*told, strict=True) if told else ((),) * 5
+            columns = [pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(fp, pa.int64()), pa.array(fp2, pa.int64()), pa.array(pre, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("xh"), *columns], names=["doc_id", "xh", "id", "n", "fp", "fp2", "prefix"])
+
+    return run
+
+
+def _possible(n: np.ndarray, fp: np.ndarray, fp2: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Pairs that sizes and sketches leave possible at a Jaccard similarity of 0.8."""
+    low, high = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
+    bits = np.bitwise_count(fp[a] ^ fp[b]).astype(np.int64) + np.bitwise_count(fp2[a] ^ fp2[b])
+    return (NEAR[1] * low >= NEAR[0] * high) & ((high <= SKETCH_FROM) | (bits <= SKETCH_BITS))
+
+
+def _set_runs(run: np.ndarray, half: np.ndarray, n: np.ndarray, fp: np.ndarray, fp2: np.ndarray, sets: list[np.ndarray] | None = None) -> np.ndarray:
+    """Classes of the entries with equal (sorted) ``run``, each named by its first entry.  With
+    ``sets`` every step is confirmed by them; else a step is a pair that is possible."""
+    label, at, d = np.arange(len(run)), np.arange(len(run)), 0
+    starts = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
+    number = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(run))))
+    while len(at):
+        d += 1
+        at = at[at + d < len(run)]
+        at = at[number[at] == number[at + d]]
+        hit = (label[at] != label[at + d]) & ((half[at] != half[at + d]) | (half[at] < 0))
+        a, b = at[hit], at[hit] + d
+        near = _possible(n, fp, fp2, a, b)
+        a, b = a[near], b[near]
+        if sets is None:
+            if len(a):
+                _forest(a, b, label)
+        else:
+            for i, j in zip(a.tolist(), b.tolist(), strict=True):
+                x, y = sorted((int(label[i]), int(label[j])))
+                if x != y and similar(sets[i], sets[j]):
+                    label[label == y] = x
+        if d & (d - 1) == 0 and len(at):  # runs of one class are done
+            done = np.minimum.reduceat(label, starts) == np.maximum.reduceat(label, starts)
+            at = at[~done[number[at]]]
+    return label
+
+
+def _set_links(width: int | None):
+    """Links inside runs of equal keys; with ``width`` by the texts' shingles, which are formed here."""
+
+    def links(rows: pa.Table) -> pa.RecordBatch:
+        key, half, n, ids = (rows.column(c).to_numpy() for c in ("key", "half", "n", "id"))
+        fp, fp2 = (rows.column(c).to_numpy().view(np.uint64) for c in ("fp", "fp2"))
+        if width is None:
+            label = _set_runs(key, half, n, fp, fp2)
+        else:
+            label = np.zeros(0, np.int64)
+            starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))).tolist()
+            for a, b in zip(starts, [*starts[1:], len(key)], strict=True):
+                sets = [shingles(t.as_py().encode(), width) for t in rows.column("text").slice(a, b - a)]
+                label = np.append(label, a + _set_runs(key[a:b], half[a:b], n[a:b], fp[a:b], fp2[a:b], sets))
+        child = np.flatnonzero(label != np.arange(len(label)))
+        return pa.RecordBatch.from_arrays([pa.array(ids[child]), pa.array(ids[label[child]])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            if width is None and sum(x.num_rows for x in held) < 1 << 16:
+                continue
+            rows = pa.Table.from_batches(held)
+            key = rows.column("key").to_numpy()
+            whole = np.flatnonzero(key != key[-1])
+            if len(whole):  # the last run may go on in the next batch
+                yield links(rows.slice(0, int(whole[-1]) + 1))
+                held = rows.slice(int(whole[-1]) + 1).to_batches()
+        if held:
+            yield links(pa.Table.from_batches(held))
+
+    return run
+
+
+def _set_blocks(entries: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``entries`` with ``half``; keys of ``sizes(key, blocks)`` become runs of two blocks each, as
+    in :func:`_block_pairs`."""
+    mine = skew_join(entries, sizes, ["key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    mine = mine.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    mine = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    half = F.when(low == high, -1).otherwise((F.col("block") == high).cast("int"))
+    key = F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", low, high))
+    return mine.select(key.alias("key"), half.alias("half"), *[c for c in entries.columns if c != "key"])
+
+
+def jaccard_links(base: DataFrame, fps: DataFrame, width: int, bucket_rows: int = BUCKET_ROWS, run_shingles: int = RUN_SHINGLES) -> DataFrame:
+    """Links ``(a, b)`` spanning the sets ``id`` of ``fps`` joined by steps of Jaccard 0.8 or more.
+
+    Sets meet in the buckets of their prefixes' shingles.  What sizes and sketches leave of
+    these pairs joins sets to groups, and inside a group every step is confirmed by the texts."""
+    spark = base.sparkSession
+    parts = shuffle_partitions(spark)
+    nodes = cut(fps.dropDuplicates(["id"]), "sets")
+    entries = nodes.select(F.explode("prefix").alias("key"), "id", "n", "fp", "fp2")
+    hot = cut(entries.groupBy("key").count().where(F.col("count") > bucket_rows).select("key", F.ceil(2 * F.col("count") / bucket_rows).cast("int").alias("blocks")), "hot")
+    entries = entries.withColumn("half", F.lit(-1)) if hot.isEmpty() else _set_blocks(entries, hot)
+    runs = entries.repartition(parts, "key").sortWithinPartitions("key", "fp").select("key", "half", "id", "n", "fp", "fp2")
+    groups = cut(components(runs.mapInArrow(_set_links(None), "a long, b long")), "groups")
+    members = groups.select(F.col("node").alias("id"), F.col("root").alias("key")).union(groups.select("root", "root").distinct()).distinct()
+    members = nodes.drop("prefix").join(members, "id")
+    sizes = members.groupBy("key").agg(F.sum("n").alias("s")).where(F.col("s") > run_shingles).select("key", F.ceil(2 * F.col("s") / run_shingles).cast("int").alias("blocks"))
+    members = members.withColumnRenamed("doc_id", "_d").withColumnRenamed("xh", "_h")
+    texts = base.join(members, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("xh") == F.col("_h"))).select("key", "id", "n", "fp", "fp2", "text")
+    runs = _set_blocks(texts, sizes).repartition(parts, "key").sortWithinPartitions("key", "fp").select("key", "half", "id", "n", "fp", "fp2", "text")
+    return runs.mapInArrow(_set_links(width), "a long, b long")
+
+
+def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:
+    """The rows of ``docs`` that stay, one per component of steps of shingle Jaccard 0.8 or more,
+    that of the smallest id, all columns.
 
     Rows are found again by id and text hash; of repeated rows that agree on both, one stays."""
     names = docs.columns
-    keyed = docs.select("*", F.col("doc_id").cast("long").alias("_d"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("_h"))
-    rows = simhash_dedup(docs, width, tau, wide).where("kept").select(F.col("doc_id").alias("_kd"), F.col("xh").alias("_kh"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("xh"), text.alias("text"))
+    fps = cut(base.mapInArrow(_set_batches(width, _common(base, width)), SET_SCHEMA), "fps")
+    links = components(jaccard_links(base, fps, width))
+    firsts = fps.groupBy("id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "xh")).alias("first"))
+    rooted = firsts.join(links, firsts.id == links.node, "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("first").alias("first"))
+    rows = rooted.select(F.col("first.doc_id").alias("_kd"), F.col("first.xh").alias("_kh"))
+    keyed = docs.select("*", F.col("doc_id").cast("long").alias("_d"), F.xxhash64(text).alias("_h"))
     joined = keyed.join(rows, F.col("_d").eqNullSafe(F.col("_kd")) & (F.col("_h") == F.col("_kh")), "left_semi")
     return joined.dropDuplicates(["_d", "_h"]).select(*names)
