@@ -73,3 +73,13 @@ def test_the_order_of_shingles_is_free():
         assert simhash_dedup.similar(a, b) == (5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b)))
         if simhash_dedup.similar(a, b):
             assert len(np.intersect1d(simhash_dedup.prefix(a, usual), simhash_dedup.prefix(b, usual)))
+
+
+def test_texts_of_few_words_stay(spark):
+    """Few shingles make fingerprints poor in ones: by bits alone these texts are near an empty one."""
+    rng = np.random.default_rng(9)
+    rows = [(i, " ".join(f"v{x}" for x in rng.integers(1 << 40, size=6))) for i in range(40)]
+    rows += [(100, None), (101, ""), (102, " \n"), (103, "one"), (104, "ONE "), (105, "a b c"), (106, "a b c d e f g h"), (107, "a b c d e f g h i"), (108, "b c d e f g h i")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = {r.doc_id for r in simhash_dedup.keep_one(docs).collect()}
+    assert kept == brute(rows) == {*range(40), 100, 103, 105, 106}
