@@ -9,7 +9,8 @@ probability; a small logistic model turns a document's largest marginal and its
 number of toxic words into the document's score; words above one half are the offending spans.
 
 The model is fitted on at most ``SAMPLE`` labelled rows of each class (a documented bound, in
-hash order of the id, so reruns agree); scoring covers every row and whole texts.  Inputs of a
+hash order of the id, so reruns agree), whole texts whatever their length; of several rows of one
+labelled id one takes part.  The fit's words lie in a temporary file of the driver.  Scoring covers every row and whole texts.  Inputs of a
 score are the text's words only.
 
 Defined results: a null or empty text, or one without letters, gets the score of a document
@@ -21,8 +22,9 @@ rows; other columns are not read.
 from __future__ import annotations
 
 import re
+import tempfile
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,7 +33,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE = 1_500
-SAMPLE_CHARS = 12_000_000
 FIT_TOKENS = 150_000
 THRESHOLD = 0.3
 MIN_SUPPORT = 2
@@ -147,17 +148,33 @@ def document_features(prob: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.stack([np.log(top / (1 - top)), np.log1p(total)], axis=1)
 
 
-def fit(texts: list[str], toxic: list[int], rounds: int = 40) -> Model:
-    """Train on whole documents with 0/1 labels; see the module's text for the word labels."""
+def fit(rows: Iterable[tuple[str, int]], rounds: int = 40) -> Model:
+    """Train on whole documents with 0/1 labels; see the module's text for the word labels.
+
+    The texts are read once, one at a time; their words go to a file as numbers."""
+    with tempfile.TemporaryFile() as file:
+        spelled: dict[str, int] = {}
+        toxic, sizes = [], []
+        for text, label in rows:
+            words = np.fromiter((spelled.setdefault(w.group(), len(spelled)) for w in WORD.finditer(text.lower())), np.int32)
+            file.write(words.tobytes())
+            toxic.append(label)
+            sizes.append(len(words))
+        file.flush()
+        words = np.memmap(file, np.int32, "r") if sum(sizes) else np.zeros(0, np.int32)
+        return _fit(words, list(spelled), np.array(sizes, np.int64), toxic, rounds)
+
+
+def _fit(words: np.ndarray, spelled: list[str], sizes: np.ndarray, toxic: list[int], rounds: int) -> Model:
     y = np.array(toxic, dtype=float)
     if not len(y) or y.min() == y.max():
         return Model({}, 0.0, np.ones((2, 2)), (0.0, 0.0, 0.0), trained=False)
     n = [max(1, int((y == k).sum())) for k in (0, 1)]
     support = [Counter(), Counter()]
     for label in (1, 0):  # features that no toxic document has carry no weight
-        for text, own in zip(texts, toxic, strict=True):
+        for end, size, own in zip(np.cumsum(sizes).tolist(), sizes.tolist(), toxic, strict=True):
             if own == label:
-                seen = {f for w in set(WORD.findall(text.lower())) for f in features(w)}
+                seen = {f for w in np.unique(words[end - size : end]).tolist() for f in features(spelled[w])}
                 support[label].update(seen if label else [f for f in seen if f in support[1]])
         if label:
             support[1] = Counter({f: c for f, c in support[1].items() if c >= MIN_SUPPORT})
@@ -173,35 +190,32 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 40) -> Model:
     known = sorted(odds)
     column = {f: i for i, f in enumerate(known)}
     # Words without a known feature share entry 0.
-    vocabulary: dict[str, int] = {}
     row, col, hot = [], [], [False]
-
-    def number(word: str) -> int:
-        at = vocabulary.get(word)
-        if at is None:
-            own = [column[f] for f in features(word) if f in column]
-            at = len(hot) if own else 0
-            if own:
-                hot.append(any(f in strong for f in features(word)))
-                row.extend([at] * len(own))
-                col.extend(own)
-                vocabulary[word] = at
-        return at
+    entry = np.zeros(len(spelled), np.int32)
+    for w, word in enumerate(spelled):
+        own = [column[f] for f in features(word) if f in column]
+        if own:
+            entry[w] = len(hot)
+            row.extend([len(hot)] * len(own))
+            col.extend(own)
+            hot.append(any(f in strong for f in features(word)))
 
     # Blocks of whole documents bound what a pass holds.
-    blocks: list[tuple[np.ndarray, np.ndarray]] = []
-    ids, lengths = [], []
-    for text in texts:
-        words = [number(w) for w in WORD.findall(text.lower())]
-        ids += words
-        lengths.append(len(words))
-        if len(ids) >= FIT_TOKENS:
-            blocks.append((np.array(ids, np.int32), np.array(lengths)))
-            ids, lengths = [], []
-    blocks.append((np.array(ids, np.int32), np.array(lengths, np.int64)))
+    ends = np.cumsum(sizes)
+    cuts, held = [0], 0
+    for k, size in enumerate(sizes.tolist()):
+        held += size
+        if held >= FIT_TOKENS or k == len(sizes) - 1:
+            cuts.append(k + 1)
+            held = 0
+
+    def blocks() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield entry[words[ends[a] - sizes[a] : ends[b - 1]]], sizes[a:b]
+
     row, col, hot = np.array(row, np.int64), np.array(col, np.int64), np.array(hot)
     labels, moves, done = [], np.zeros((2, 2)), 0
-    for ids, lengths in blocks:
+    for ids, lengths in blocks():
         own = (hot[ids] & (np.repeat(y[done : done + len(lengths)], lengths) > 0)).astype(np.int8)
         done += len(lengths)
         inside = np.ones(max(0, len(ids) - 1), bool)
@@ -215,7 +229,7 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 40) -> Model:
         per_word = np.bincount(row, params[col], len(hot)) + params[-5]
         t = np.exp(params[-4:].reshape(2, 2))
         by_word, moved = np.zeros(len(hot)), np.zeros((2, 2))
-        for (ids, lengths), own in zip(blocks, labels, strict=True):
+        for (ids, lengths), own in zip(blocks(), labels, strict=True):
             prob, expected = marginals(per_word[ids], lengths, t)
             by_word += np.bincount(ids, prob - own, len(hot))
             moved += expected
@@ -227,7 +241,7 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 40) -> Model:
     weights = {f: float(params[i]) for i, f in enumerate(known) if keep[i]}
     t = np.exp(params[-4:].reshape(2, 2))
     per_word = np.bincount(row, params[col], len(hot)) + params[-5]
-    told = [document_features(marginals(per_word[ids], lengths, t)[0], lengths) for ids, lengths in blocks]
+    told = [document_features(marginals(per_word[ids], lengths, t)[0], lengths) for ids, lengths in blocks()]
     x = np.column_stack([np.ones(len(y)), np.concatenate(told)])
     beta = np.zeros(3)
     for _ in range(25):  # ridge logistic regression by Newton steps
@@ -248,14 +262,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         chosen = part if chosen is None else chosen.union(part)
     # At most 2 * SAMPLE rows of two numbers: small enough to broadcast at any input size.
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text is not null")
-    texts, toxic, held = [], [], 0
-    for r in rows.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id", "text").toLocalIterator():
-        held += len(r.text)
-        if held > SAMPLE_CHARS:
-            break
-        texts.append(r.text)
-        toxic.append(int(r.toxic))
-    return fit(texts, toxic)
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    rows = rows.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id")
+    return fit((r.text, int(r.toxic)) for r in rows.toLocalIterator())
 
 
 def held_out(doc_id: Column) -> Column:
