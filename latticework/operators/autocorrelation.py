@@ -132,7 +132,8 @@ def conditional_values(units: DataFrame, edges: DataFrame, permutations: int, se
     replacement from all other units.
 
     Few units: the others are ranked by ``md5(seed:p:i:other)``.  Many: each draw takes
-    ``k`` of ``n - 1`` by Floyd's method on hashes, work in proportion to the edges."""
+    ``k`` of ``n - 1`` by Floyd's method on hashes, work in proportion to the edges.  That gives a
+    uniform set, and another hash shuffles it over the neighbours' weights."""
     slots = edges.select("i", "weight", (F.row_number().over(Window.partitionBy("i").orderBy("j"))).alias("slot"))
     n = units.count()
     draws = F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("p")
@@ -148,7 +149,8 @@ def conditional_values(units: DataFrame, edges: DataFrame, permutations: int, se
     step = lambda acc, j: F.concat(acc, F.array(F.when(F.array_contains(acc, pick(j)), j).otherwise(pick(j))))
     first = F.lit(n - 1).cast("long") - F.col("k")
     drawn = F.aggregate(F.sequence(first, F.lit(n - 2).cast("long")), F.array().cast("array<bigint>"), step)
-    taken = asked.select("i", "p", F.posexplode(drawn).alias("slot", "o"))
+    place = lambda o: F.struct(F.xxhash64(F.lit("slot"), F.lit(seed), F.col("p"), F.col("i"), o).alias("h"), o.alias("o"))
+    taken = asked.select("i", "p", F.posexplode(F.array_sort(F.transform(drawn, place))).alias("slot", "e")).select("i", "p", "slot", "e.o")
     taken = taken.select("i", "p", (F.col("slot") + 1).alias("slot"), (F.col("o") + (F.col("o") >= F.col("i")).cast("long")).alias("o"))
     valued = taken.join(units.select(F.col("i").alias("o"), F.col("z").alias("v")), "o").join(slots, ["i", "slot"])
     return valued.groupBy("i", "p").agg(F.sum(F.col("weight") * F.col("v")).alias("slag"))
