@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..errors import DataContractError
 from .weights import nearest, weighted_nearest
 
-BASIS_ROWS = 2_000
+TAIL = 1e-15
 
 
 def covariate_lags(train: DataFrame, query: DataFrame | None, covariates: list[str], k: int = 8, weighting: str = "uniform", power: float = 1.0) -> DataFrame:
@@ -26,39 +26,58 @@ def covariate_lags(train: DataFrame, query: DataFrame | None, covariates: list[s
 
 
 class EigenBasis:
-    """Leading eigenvectors of the doubly centred Gaussian kernel over training coordinates.
+    """Leading eigenvectors of the doubly centred Gaussian kernel over all training coordinates.
 
-    Fitted on the driver on at most ``BASIS_ROWS`` landmarks in hash order (a documented bound;
-    all rows where there are no more); other rows are projected by the Nystroem formula."""
+    On the unit square the kernel is a sum of products of features ``phi`` (its Taylor series in
+    ``x x'``, cut below ``TAIL``), so its spectrum is that of the features' centred Gram matrix,
+    one aggregate over all rows.  Other rows are projected by the Nystroem formula."""
 
     def __init__(self, gamma: float = 5.0, n_components: int = 8):
         self.gamma, self.n_components = gamma, n_components
 
     def fit(self, train: DataFrame) -> EigenBasis:
-        rows = train.orderBy(F.md5(F.col("i").cast("string")), "i").limit(BASIS_ROWS).select("x", "y").collect()
-        points = np.array([(r.x, r.y) for r in rows], dtype=float)
-        self.low = points.min(axis=0)
-        span = points.max(axis=0) - self.low
+        told = train.agg(*[f(c) for c in ("x", "y") for f in (F.min, F.max)]).first()
+        self.low = np.array([told[0], told[2]], dtype=float)
+        span = np.array([told[1], told[3]], dtype=float) - self.low
         self.span = np.where(span == 0, 1.0, span)
-        self.landmarks = (points - self.low) / self.span
-        kernel = self._kernel(self.landmarks)
-        self.col_mean, self.mean = kernel.mean(axis=0), float(kernel.mean())
-        centred = kernel - kernel.mean(axis=1, keepdims=True) - self.col_mean + self.mean
-        values, vectors = np.linalg.eigh(centred)
+        terms = [1.0]
+        while terms[-1] > TAIL or len(terms) <= self.gamma / 2:
+            terms.append(terms[-1] * self.gamma / 2 / len(terms))
+        self.terms = len(terms)
+        size = self.terms**2
+
+        def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            gram, total, n = np.zeros((size, size)), np.zeros(size), 0
+            for frame in frames:
+                for at in range(0, len(frame), 2_000):
+                    phi = self._features(frame.iloc[at : at + 2_000][["x", "y"]].to_numpy(float))
+                    gram, total, n = gram + phi.T @ phi, total + phi.sum(axis=0), n + len(phi)
+            if n:
+                yield pd.DataFrame({"k": np.arange(size + 1), "row": [*gram, np.append(total, n)]})
+
+        rows = train.select("x", "y").mapInPandas(sums, "k int, row array<double>")
+        whole = np.zeros((size + 1, size + 1))
+        for r in rows.select("k", F.posexplode("row").alias("l", "v")).groupBy("k", "l").agg(F.sum("v").alias("v")).toLocalIterator():
+            whole[r.k, r.l] = r.v
+        n = whole[size, size]
+        self.mean = whole[size, :size] / n
+        values, vectors = np.linalg.eigh(whole[:size, :size] - n * np.outer(self.mean, self.mean))
         order = [k for k in np.argsort(values)[::-1] if values[k] > 1e-8][: self.n_components]
         if not order:
             raise DataContractError("the coordinates span no basis")
         self.values, self.vectors = values[order], vectors[:, order]
         return self
 
-    def _kernel(self, points: np.ndarray) -> np.ndarray:
-        d2 = ((points[:, None, :] - self.landmarks[None, :, :]) ** 2).sum(axis=2)
-        return np.exp(-self.gamma * d2)
+    def _features(self, points: np.ndarray) -> np.ndarray:
+        u = (points - self.low) / self.span - 0.5
+        k = np.arange(1, self.terms)
+        steps = np.sqrt(2 * self.gamma / k) * u[:, :, None]
+        first = np.exp(-self.gamma * u**2)[:, :, None]
+        f = np.concatenate((first, first * np.cumprod(steps, axis=2)), axis=2)
+        return (f[:, 0, :, None] * f[:, 1, None, :]).reshape(len(u), -1)
 
     def project(self, points: np.ndarray) -> np.ndarray:
-        kernel = self._kernel((points - self.low) / self.span)
-        centred = kernel - kernel.mean(axis=1, keepdims=True) - self.col_mean + self.mean
-        return centred @ self.vectors / np.sqrt(self.values)
+        return (self._features(points) - self.mean) @ self.vectors
 
     def transform(self, rows: DataFrame) -> DataFrame:
         """``(i, basis_1 ..)`` of ``rows(i, x, y)``."""
