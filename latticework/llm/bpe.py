@@ -27,6 +27,7 @@ import json
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE_WORDS = 400_000
+from .common import arrow, text_blocks
+
+CACHE_PIECES = 600_000
+BLOCK = 1 << 22  # bytes of text that are encoded together
 # Unicode White_Space, which the library's patterns call white space.
 SPACE = "\\t\\n\\x0b\\f\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 DIGEST_SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -55,81 +59,114 @@ def byte_letters() -> list[str]:
 
 
 class Encoder:
-    """Merges words by rank; ``word`` results are cached up to ``CACHE_WORDS`` words."""
+    """Merges words by rank; pieces between white space are kept as arrays of tokens, up to
+    ``CACHE_PIECES`` of them."""
 
     def __init__(self, path: str):
         spec = json.load(open(path, encoding="utf-8"))
         model = spec["model"]
-        self.vocab: dict[str, int] = model["vocab"]
-        self.suffix: str = model["end_of_word_suffix"] or ""
-        strings = dict(map(reversed, self.vocab.items()))
+        vocab: dict[str, int] = model["vocab"]
+        suffix: str = model["end_of_word_suffix"] or ""
+        strings = dict(map(reversed, vocab.items()))
         self.rank: dict[tuple[int, int], tuple[int, int]] = {}
         for r, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.rank.setdefault((self.vocab[a], self.vocab[b]), (r, self.vocab[a + b]))
+            self.rank.setdefault((vocab[a], vocab[b]), (r, vocab[a + b]))
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.strings = strings | {i: s for s, i in self.special.items()}
+        strings |= {i: s for s, i in self.special.items()}
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.words = regex.compile(pattern.replace("\\s", SPACE))
+        # A line break ends a piece where many are split at once.
+        self.words = regex.compile(f"(?:{pattern})|\n".replace("\\s", SPACE))
         self.fold = regex.compile(f"[{SPACE}]+")
         self.separators = regex.compile("[\\x1c-\\x1f]")
-        self.letters = byte_letters()
+        letters = byte_letters()
+        # Symbols of the 256 bytes, inside a word and at its end; -1: no such symbol.
+        self.inside = np.array([vocab.get(c, -1) for c in letters], np.int32)
+        self.at_end = np.array([vocab.get(c + suffix, -1) for c in letters], np.int32)
         codes = np.array([a << 32 | b for a, b in self.rank], np.int64)
         order = np.argsort(codes)
         self.pair_codes = codes[order]
-        self.pair_ranks = np.array([r for r, _ in self.rank.values()], np.int64)[order]
+        self.pair_ranks = np.array([r for r, _ in self.rank.values()], np.int32)[order]
         self.by_rank = {r: (a, b, new) for (a, b), (r, new) in self.rank.items()}
-        self.spelled = {c: self.vocab[c] for c in self.letters if c in self.vocab}
-        self.cache: dict[str, tuple[int, str, str]] = {}
-        self.tokens: dict[str, list[int]] = {}
+        lowest: dict[int, int] = {}  # of the ranks that a symbol takes part in
+        for (a, b), (r, _) in self.rank.items():
+            lowest[a], lowest[b] = min(r, lowest.get(a, r)), min(r, lowest.get(b, r))
+        # A rank whose new symbol takes part in a lower one: its positions in a word are not independent.
+        self.tangled = {r for r, new in self.rank.values() if lowest.get(new, r + 1) < r}
+        most = max(strings) + 1
+        self.as_digits = np.array([str(i) for i in range(most)], object)
+        self.as_string = np.array([strings.get(i, "") for i in range(most)], object)
+        self.clear()
+
+    def clear(self) -> None:
+        self.index: dict[str, int] = {}  # piece -> its entry in ``bound``
+        self.known: dict[str, int] = {}  # word -> the same
+        self.flat = np.zeros(0, np.int32)
+        self.bound = np.zeros(1, np.int64)
+        # No piece holds a space, so no piece is taken for a special token.
+        self.index.update(zip([f" {t}" for t in self.special], self.extend(np.array([*self.special.values()], np.int32), np.ones(len(self.special), np.int64)), strict=True))
+
+    def extend(self, ids: np.ndarray, sizes: np.ndarray) -> range:
+        """Append entries of ``sizes`` tokens each; returns their numbers."""
+        first = len(self.bound) - 1
+        self.bound = np.concatenate((self.bound, len(self.flat) + np.cumsum(sizes)))
+        self.flat = np.concatenate((self.flat, ids))
+        return range(first, first + len(sizes))
 
     def split(self, text: str) -> list[str]:
         """The pieces between white space of a text that holds no special token."""
         # Lower case letter by letter: no rule looks at the neighbours.
-        folded = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        folded = text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
         if self.separators.search(folded):  # Python splits there, the library does not
-            return self.fold.sub(" ", folded).split(" ")
+            return [p for p in self.fold.sub(" ", folded).split(" ") if p]
         return folded.split()
 
-    def symbols(self, word: str) -> list[int]:
-        letters = [self.letters[b] for b in word.encode()]
-        last = letters.pop() + self.suffix
-        out = [self.spelled[c] for c in letters if c in self.spelled]
-        return [*out, self.vocab[last]] if last in self.vocab else out
-
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of pairs of symbols, -1 where a pair has none."""
-        code = left << 32 | right
+        code = left.astype(np.int64) << 32 | right
         at = np.minimum(np.searchsorted(self.pair_codes, code), len(self.pair_codes) - 1)
         return np.where(self.pair_codes[at] == code, self.pair_ranks[at], -1)
 
-    def merge(self, words: list[str]) -> list[list[int]]:
-        """Token ids of each word, all words merged together through the pair index."""
-        rows = [self.symbols(w) for w in words]
-        lens = np.array([len(r) for r in rows], np.int64)
-        n = int(lens.sum())
-        # One entry of padding at the end stands for "none".
-        symbol = np.fromiter((x for r in rows for x in r), np.int64, n)
-        symbol = np.append(symbol, -1)
-        owner = np.append(np.repeat(np.arange(len(rows)), lens), -1)
-        after, before = np.arange(1, n + 2), np.arange(-1, n)
+    def symbols(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols of words laid end to end, and how many each word has."""
+        raw = [w.encode() for w in words]
+        lens = np.fromiter(map(len, raw), np.int64, len(raw))
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        out = self.inside[data]
+        ends = np.cumsum(lens)[lens > 0] - 1
+        out[ends] = self.at_end[data[ends]]
+        if (out < 0).any():
+            owner = np.repeat(np.arange(len(words)), lens)
+            lens = np.bincount(owner[out >= 0], minlength=len(words))
+            out = out[out >= 0]
+        return out, lens
+
+    def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of the words, end to end, and the number of each: all words are merged
+        together through the pair index."""
+        symbol, lens = self.symbols(words)
+        n = len(symbol)
         bound = np.concatenate(([0], np.cumsum(lens)))
-        ends = bound[1:][lens > 0]
-        after[ends - 1], before[ends - lens[lens > 0]] = n, n
+        # One entry of padding at the end stands for "none".
+        symbol = np.append(symbol, np.int32(-1))
+        after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
+        some = lens > 0
+        after[bound[1:][some] - 1], before[bound[:-1][some]] = n, n
         after[n] = before[n] = n
         index: dict[int, list[np.ndarray]] = {}
         active: list[int] = []
 
         def note(where: np.ndarray) -> None:
             """Enter the pairs that start at ``where``."""
-            where = where[after[where] < n]
-            rank = self.ranks(symbol[where], symbol[after[where]])
-            where, rank = where[rank >= 0], rank[rank >= 0]
-            order = np.argsort(rank, kind="stable")
-            where, rank = where[order], rank[order]
+            behind = after[where]
+            rank = self.ranks(symbol[where], symbol[behind])  # padding has none
+            has = rank >= 0
+            where, rank = where[has], rank[has]
             if not len(rank):
                 return
+            order = np.argsort(rank, kind="stable")
+            where, rank = where[order], rank[order]
             heads = [0, *(np.flatnonzero(rank[1:] != rank[:-1]) + 1).tolist()]
             for a, b, r in zip(heads, [*heads[1:], len(rank)], rank[heads].tolist(), strict=True):
                 if r not in index:
@@ -137,59 +174,58 @@ class Encoder:
                     heapq.heappush(active, r)
                 index[r].append(where[a:b])
 
-        note(np.arange(n))
-        single: set[int] = set()
+        note(np.arange(n, dtype=np.int32))
+        single: set[int] = set()  # words to merge position by position
         while active:
             rank = heapq.heappop(active)
             found = index.pop(rank)
-            at = found[0] if len(found) == 1 else np.unique(np.concatenate(found))
+            at = found[0] if len(found) == 1 else np.concatenate(found)
             left, right, new = self.by_rank[rank]
             behind = after[at]
             live = (symbol[at] == left) & (symbol[behind] == right)
-            at, behind = at[live], behind[live]
+            at = at[live]
+            if left == right and len(at) > 1:
+                # Overlapping pairs: of a run of equal symbols every other position is taken.
+                at = np.unique(at)
+                head = np.concatenate(([True], after[at[:-1]] != at[1:]))
+                place = np.arange(len(at))
+                at = at[(place - np.maximum.accumulate(np.where(head, place, 0))) % 2 == 0]
+            if rank in self.tangled and len(at) > 1:
+                owner = np.searchsorted(bound, np.unique(at), side="right") - 1
+                twice = np.unique(owner[1:][owner[1:] == owner[:-1]])
+                if len(twice):
+                    single.update(twice.tolist())
+                    at = at[~np.isin(np.searchsorted(bound, at, side="right") - 1, twice)]
+                    for k in twice.tolist():
+                        symbol[bound[k] : bound[k + 1]] = -1
             if not len(at):
                 continue
-            own = np.sort(owner[at])
-            twice = own[1:][own[1:] == own[:-1]]
-            if len(twice):
-                twice = np.unique(twice)
-                single.update(twice.tolist())
-                keep = ~np.isin(owner[at], twice)
-                for k in twice.tolist():
-                    symbol[bound[k] : bound[k + 1]] = -1
-                at, behind = at[keep], behind[keep]
+            behind = after[at]
             symbol[at], symbol[behind] = new, -1
             rest = after[behind]
             after[at] = rest
-            inner = rest < n
-            before[rest[inner]] = at[inner]
-            ahead = before[at]
-            note(np.concatenate((at, ahead[ahead < n])))
-        symbol = symbol[:n]
-        kept = symbol >= 0
-        count = np.concatenate(([0], np.cumsum(kept)))[bound].tolist()
-        flat = symbol[kept].tolist()
-        out = [flat[a:b] for a, b in zip(count, count[1:], strict=False)]
-        redo = sorted(single)
-        for k, ids in zip(redo, self.merge_in_order([words[k] for k in redo]), strict=True):
-            out[k] = ids
-        return out
+            before[rest] = at
+            before[n] = n
+            note(np.concatenate((at, before[at])))
+        if single:
+            for k, ids in zip(sorted(single), self.merge_in_order([words[k] for k in sorted(single)]), strict=True):
+                symbol[bound[k] : bound[k + 1]] = -1
+                symbol[bound[k] : bound[k] + len(ids)] = ids
+        kept = symbol[:n] >= 0
+        return symbol[:n][kept], np.diff(np.concatenate(([0], np.cumsum(kept)))[bound])
 
     def merge_in_order(self, words: list[str]) -> list[list[int]]:
         """The same by single positions: of one rank, left to right inside a word."""
-        symbol: list[int] = []
-        after: list[int] = []
-        before: list[int] = []
-        owner: list[int] = []
+        symbols, lens = self.symbols(words)
+        symbol: list[int] = symbols.tolist()
+        after = list(range(1, len(symbol) + 1))
+        before = list(range(-1, len(symbol) - 1))
+        owner: list[int] = np.repeat(np.arange(len(words)), lens).tolist()
         heads: list[int] = []
-        for k, word in enumerate(words):
-            own = self.symbols(word)
-            start = len(symbol)
-            heads.append(start if own else -1)
-            symbol += own
-            owner += [k] * len(own)
-            before += [-1, *range(start, start + len(own) - 1)][: len(own)]
-            after += [*range(start + 1, start + len(own)), -1] if own else []
+        for size, end in zip(lens.tolist(), np.cumsum(lens).tolist(), strict=True):
+            heads.append(end - size if size else -1)
+            if size:
+                after[end - 1], before[end - size] = -1, -1
         rank = self.rank
         index: dict[tuple[int, int], list[int]] = {}
         for i, n in enumerate(after):
@@ -252,45 +288,68 @@ class Encoder:
         return out
 
     def learn(self, pieces: set[str]) -> None:
-        """Put pieces into the cache; the caches start anew before they outgrow their bound."""
-        fresh = sorted(pieces.difference(self.cache))
-        if len(self.cache) + len(fresh) > CACHE_WORDS:
-            self.cache.clear()
-            self.tokens.clear()
-            fresh = sorted(pieces)
-        split = [self.words.findall(p) for p in fresh]
-        words = sorted({w for s in split for w in s}.difference(self.tokens))
-        self.tokens.update(zip(words, self.merge(words), strict=True))
-        strings = self.strings
-        for piece, own in zip(fresh, split, strict=True):
-            ids = [i for w in own for i in self.tokens[w]]
-            self.cache[piece] = (len(ids), " ".join(map(str, ids)), " ".join([strings[i] for i in ids]))
-        for token, i in self.special.items():
-            self.cache[token] = (1, str(i), token)
+        """Make entries for pieces that have none.  Words have entries, too: the pattern looks at
+        nothing beside a word, so a word is a piece that is one word."""
+        plain = [p for p in pieces if p.isascii() and p.isalpha()]
+        others = list(pieces.difference(plain))
+        found = self.words.findall("\n".join(others) + "\n")
+        words = list(set(plain).union(found).difference(self.index, "\n"))
+        self.index.update(zip(words, self.extend(*self.merge(words)), strict=True))
+        entries = np.fromiter(map(self.index.get, found, repeat(-1)), np.int64, len(found))
+        counts = np.diff(np.flatnonzero(entries < 0), prepend=-1) - 1  # words of each piece
+        new = np.array([p not in self.index for p in others], bool)
+        ids, ends = self.gathered(entries[entries >= 0][np.repeat(new, counts)])
+        ends = np.concatenate(([0], ends))[np.cumsum(counts[new])]
+        self.index.update(zip([p for p in others if p not in self.index], self.extend(ids, np.diff(ends, prepend=0)), strict=True))
+
+    def gathered(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of entries end to end, and where each entry's end."""
+        begin = self.bound[entries]
+        size = self.bound[entries + 1] - begin
+        ends = np.cumsum(size)
+        at = np.repeat(begin - (ends - size), size)
+        at += np.arange(len(at))
+        return self.flat[at], ends
 
     def pieces(self, text: str) -> list[str]:
-        if self.split_special is None or "<|" not in text:
+        if self.split_special is None or not any(token in text for token in self.special):
             return self.split(text)
         out = []
         for part in self.split_special.split(text):
             if part in self.special:
-                out.append(part)
+                out.append(f" {part}")
             else:
                 out += self.split(part)
         return out
 
+    def token_ids(self, texts: list[str]) -> list[np.ndarray]:
+        """Token ids of each text."""
+        every: list[str] = []
+        counts = []
+        for text in texts:
+            own = self.pieces(text)
+            every += own
+            counts.append(len(own))
+        entries = np.fromiter(map(self.index.get, every, repeat(-1)), np.int64, len(every))
+        missing = np.flatnonzero(entries < 0).tolist()
+        fresh = {every[k] for k in missing}
+        if len(self.index) + len(fresh) > CACHE_PIECES:  # the cache starts anew before it outgrows its bound
+            self.clear()
+            missing = range(len(every))
+            fresh = set(every).difference(self.index)
+        if fresh:
+            self.learn(fresh)
+            entries[missing] = [self.index[every[k]] for k in missing]
+        ids, ends = self.gathered(entries)
+        last = np.concatenate(([0], ends))[np.cumsum(counts, dtype=np.int64)].tolist()
+        return [ids[a:b] for a, b in zip([0, *last], last, strict=False)]
+
+    def decode(self, ids: np.ndarray) -> str:
+        return " ".join(self.as_string[ids].tolist())
+
     def encode_batch(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """Per text: token count, ids as decimals, decoded text."""
-        split = [self.pieces(t) for t in texts]
-        words: set[str] = set()
-        for s in split:
-            words.update(s)
-        self.learn(words)
-        out = []
-        for s in split:
-            got = [g for g in map(self.cache.__getitem__, s) if g[0]]
-            out.append((sum([g[0] for g in got]), " ".join([g[1] for g in got]), " ".join([g[2] for g in got])))
-        return out
+        return [(len(ids), " ".join(self.as_digits[ids].tolist()), self.decode(ids)) for ids in self.token_ids(texts)]
 
 
 @lru_cache(maxsize=2)
@@ -304,26 +363,20 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _encode_batches(path: str, digest: bool, block: int = 1 << 22):
+def _encode_batches(path: str, digest: bool, block: int = BLOCK):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in batches:
-            at = 0
-            while at < batch.num_rows:
-                texts, held = [], 0
-                while at + len(texts) < batch.num_rows and (not texts or held < block):
-                    texts.append(batch.column("text")[at + len(texts)].as_py())
-                    held += len(texts[-1])
-                got = enc.encode_batch(texts)
-                doc_id = batch.column("doc_id").slice(at, len(texts))
-                count = pa.array([g[0] for g in got], pa.int64())
+            for part in text_blocks(batch, block):
+                texts = part.column("text").to_pylist()
                 if digest:
-                    columns = [pa.array([hashlib.sha256(g[k].encode()).hexdigest() for g in got], pa.string()) for k in (1, 2)]
-                    yield pa.RecordBatch.from_arrays([doc_id, count, *columns], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                    told = [(n, *(hashlib.sha256(x.encode()).hexdigest() for x in both)) for n, *both in enc.encode_batch(texts)]
+                    columns = [pa.array([t[k] for t in told], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
                 else:
-                    ids = pa.array([list(map(int, g[1].split())) for g in got], pa.list_(pa.int32()))
-                    yield pa.RecordBatch.from_arrays([doc_id, count, ids, pa.array([g[2] for g in got], pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
-                at += len(texts)
+                    found = enc.token_ids(texts)
+                    columns = [pa.array([len(ids) for ids in found], pa.int64()), pa.array(found, pa.list_(pa.int32())), pa.array(map(enc.decode, found), pa.string())]
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names=["doc_id", "n_tokens", "ids", "decoded"])
 
     return run
 
@@ -332,4 +385,4 @@ def encode(docs: DataFrame, path: str | None = None, digest: bool = False) -> Da
     """One row per row of ``docs(doc_id, text)``: doc_id, n_tokens, and ids with the decoded
     text, or with ``digest`` the SHA-256 of each, taken where the tokens are made."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return base.mapInArrow(_encode_batches(path or default_path(), digest), DIGEST_SCHEMA if digest else FULL_SCHEMA)
+    return arrow(base, _encode_batches(path or default_path(), digest), DIGEST_SCHEMA if digest else FULL_SCHEMA)
