@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, skew_join
+from .common import arrow, cut, skew_join
 
 CHUNK = 1 << 16
 COMPARE_CHUNK = 1 << 20
@@ -148,7 +148,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     Columns: doc_id, keep_id, group_size, kept, text_sha256, xh (hash of the raw text).
     """
     base = _base(docs)
-    fps = cut(base.withColumn("uid", F.monotonically_increasing_id()).mapInArrow(_fingerprint_batches, FP_SCHEMA), "fps")
+    fps = cut(arrow(base.withColumn("uid", F.monotonically_increasing_id()), _fingerprint_batches, FP_SCHEMA), "fps")
     bad = _unequal(base, fps)
     on = F.col("f.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("f.xh") == F.col("b.xh"))
     rows = fps.alias("f").join(bad.alias("b"), on, "left").select("f.*", F.when(F.col("b.bad"), F.col("f.sha")).otherwise("").alias("tag"))

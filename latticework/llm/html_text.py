@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import arrow
+
 SIGMA = 1.0
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
@@ -203,4 +205,4 @@ def _extract_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 def extract(pages: DataFrame) -> DataFrame:
     """One row per row of ``pages(page_id, url, html)``: page_id, url, text, n_chars."""
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return base.mapInArrow(_extract_batches, SCHEMA)
+    return arrow(base, _extract_batches, SCHEMA)

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, shuffle_partitions, skew_join
+from .common import arrow, components, cut, shuffle_partitions, skew_join
 
 BITS, TAU = 64, 3
 BUCKET_ROWS = 1 << 14
@@ -169,7 +169,7 @@ def plan(nodes: DataFrame, n: int, tau: int = TAU) -> tuple[list[list[int]], lis
     tables are bounded (64 x 64 counts; at most 2**16 values a partition), and they steer
     cost only, never results."""
     co = np.zeros((BITS, BITS), np.int64)
-    for r in nodes.mapInArrow(_co_batches, "i int, j int, n long, rows long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect():
+    for r in arrow(nodes, _co_batches, "i int, j int, n long, rows long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect():
         co[r.i, r.j] = r.n
     best = None
     for m in (4, 5) if n <= 1 << 24 else (3, 4) if n <= 1 << 34 else (2, 3):
@@ -329,7 +329,7 @@ def near_links(nodes: DataFrame, tau: int = TAU, wide: int | None = None, bucket
         usual = usual.select("p", "key", "far", "fp", "fp2", "half").union(_block_pairs(entries, hot, bucket_rows))
     # The exchange brings a bucket's entries to one task, the sort inside it side by side.
     runs = usual.repartition(shuffle_partitions(spark), "p", "key").sortWithinPartitions("p", "key", "fp").select("p", "key", "far", "half", "fp", "fp2")
-    links = runs.mapInArrow(_link_batches(tau, wide, thresholds), "a long, b long")
+    links = arrow(runs, _link_batches(tau, wide, thresholds), "a long, b long")
     if some_hot and hubs:
         # Without flips all members agree on the partition's own bits.
         free = [[b for b in range(BITS) if t > 0 or b not in g] for g, t in zip(groups, thresholds, strict=True)]
@@ -343,7 +343,7 @@ def simhash_dedup(docs: DataFrame, width: int = 3, tau: int = TAU) -> DataFrame:
     ``kept`` marks one row per component, that of the smallest id."""
     text = F.coalesce(F.col("text"), F.lit(""))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("xh"), F.monotonically_increasing_id().alias("uid"))
-    fps = cut(base.mapInArrow(_simhash_batches(width, (SEED,)), FP_SCHEMA), "fps")
+    fps = cut(arrow(base, _simhash_batches(width, (SEED,)), FP_SCHEMA), "fps")
     nodes = cut(fps.groupBy("fp").agg(F.min("fp2").alias("fp2"), F.min("doc_id").alias("low"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("first")), "nodes")
     links = components(near_links(nodes.select("fp", "fp2"), tau))
     rooted = nodes.join(links, nodes.fp == links.node, "left").select("fp", "low", "first", F.coalesce("root", "fp").alias("root"))
@@ -412,7 +412,7 @@ def _count_batches(width: int):
 def _common(base: DataFrame, width: int) -> np.ndarray:
     """Shingles that many texts have, from a sample of the rows.  They steer cost only, never results."""
     step = max(1, base.count() // SAMPLE_ROWS)
-    counts = base.where(F.pmod("xh", F.lit(step)) == 0).select("text").mapInArrow(_count_batches(width), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    counts = arrow(base.where(F.pmod("xh", F.lit(step)) == 0).select("text"), _count_batches(width), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     rows = counts.where(F.col("n") >= COMMON).orderBy(F.desc("n"), "key").limit(COMMON_MOST).select("key").collect()
     return np.sort(np.array([r.key for r in rows], np.int64).view(np.uint64))
 
@@ -527,14 +527,14 @@ def jaccard_links(base: DataFrame, fps: DataFrame, width: int, bucket_rows: int
     hot = cut(entries.groupBy("key").count().where(F.col("count") > bucket_rows).select("key", F.ceil(2 * F.col("count") / bucket_rows).cast("int").alias("blocks")), "hot")
     entries = entries.withColumn("half", F.lit(-1)) if hot.isEmpty() else _set_blocks(entries, hot)
     runs = entries.repartition(parts, "key").sortWithinPartitions("key", "fp").select("key", "half", "id", "n", "fp", "fp2")
-    groups = cut(components(runs.mapInArrow(_set_links(None), "a long, b long")), "groups")
+    groups = cut(components(arrow(runs, _set_links(None), "a long, b long")), "groups")
     members = groups.select(F.col("node").alias("id"), F.col("root").alias("key")).union(groups.select("root", "root").distinct()).distinct()
     members = nodes.drop("prefix").join(members, "id")
     sizes = members.groupBy("key").agg(F.sum("n").alias("s")).where(F.col("s") > run_shingles).select("key", F.ceil(2 * F.col("s") / run_shingles).cast("int").alias("blocks"))
     members = members.withColumnRenamed("doc_id", "_d").withColumnRenamed("xh", "_h")
     texts = base.join(members, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("xh") == F.col("_h"))).select("key", "id", "n", "fp", "fp2", "text")
     runs = _set_blocks(texts, sizes).repartition(parts, "key").sortWithinPartitions("key", "fp").select("key", "half", "id", "n", "fp", "fp2", "text")
-    return runs.mapInArrow(_set_links(width), "a long, b long")
+    return arrow(runs, _set_links(width), "a long, b long")
 
 
 def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:
@@ -545,7 +545,7 @@ def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:
     names = docs.columns
     text = F.coalesce(F.col("text"), F.lit(""))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("xh"), text.alias("text"))
-    fps = cut(base.mapInArrow(_set_batches(width, _common(base, width)), SET_SCHEMA), "fps")
+    fps = cut(arrow(base, _set_batches(width, _common(base, width)), SET_SCHEMA), "fps")
     links = components(jaccard_links(base, fps, width))
     firsts = fps.groupBy("id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "xh")).alias("first"))
     rooted = firsts.join(links, firsts.id == links.node, "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("first").alias("first"))

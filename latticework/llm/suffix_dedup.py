@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, shuffle_partitions, skew_join
+from .common import arrow, cut, shuffle_partitions, skew_join
 
 WINDOW, GRAM = 200, 128
 BASE = 0x9E3779B97F4A7C15
@@ -332,7 +332,7 @@ def _crowded(slices: DataFrame) -> DataFrame:
 def repeated_ranges(docs: DataFrame, group_pieces: int = GROUP_PIECES) -> tuple[DataFrame, DataFrame]:
     """Ranges ``(uid, a, b)`` of repeated windows of ``docs(uid, text, n_bytes)``, and the texts
     ``(uid, text)`` of the documents that have some, but for those made of copied pieces only."""
-    found = docs.where(F.col("n_bytes") >= WINDOW).select("uid", "text").mapInArrow(_piece_batches, PIECE_SCHEMA)
+    found = arrow(docs.where(F.col("n_bytes") >= WINDOW).select("uid", "text"), _piece_batches, PIECE_SCHEMA)
     # A piece's two small numbers share a column: rows are many, so their width counts.
     found = found.select("uid", "at", (F.col("n") * 1024 + F.col("off")).alias("shape"), "h", "ph")
     twice = found.groupBy("h").count().where("count > 1").select("h")
@@ -355,7 +355,7 @@ def repeated_ranges(docs: DataFrame, group_pieces: int = GROUP_PIECES) -> tuple[
     slices = cut(slices.select("h", "uid", "at", "n", "off", "pieces", F.expr(f"substring(encode(text, 'UTF-8'), cast(at as int) + 1, n - 1 + {WINDOW})").alias("raw")), "slices")
     usual = slices.where(F.col("pieces") <= group_pieces)
     parts = usual.repartition(shuffle_partitions(docs.sparkSession), "h").select("h", "uid", "at", "n", "off", "raw").sortWithinPartitions("h", "uid", "at")
-    marked = parts.mapInArrow(_mark_batches, RANGE_SCHEMA)
+    marked = arrow(parts, _mark_batches, RANGE_SCHEMA)
     crowded = _crowded(slices.where(F.col("pieces") > group_pieces))
     return copied.union(marked).union(crowded), texts
 
@@ -369,8 +369,8 @@ def suffix_dedup(docs: DataFrame, group_pieces: int = GROUP_PIECES) -> DataFrame
     ranges, texts = repeated_ranges(docs, group_pieces)
     # A document's ranges are no more than its windows; equal ones are one.
     by_doc = ranges.groupBy("uid").agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
-    unions = cut(by_doc.mapInArrow(_merge_batches, "uid long, n_removed long, n_spans long, spans array<struct<a:long,b:long>>"), "unions")
-    rest = texts.join(unions.select("uid", "spans"), "uid").select("uid", "text", "spans").mapInArrow(_rest_batches, "uid long, kept_sha256 string")
+    unions = cut(arrow(by_doc, _merge_batches, "uid long, n_removed long, n_spans long, spans array<struct<a:long,b:long>>"), "unions")
+    rest = arrow(texts.join(unions.select("uid", "spans"), "uid").select("uid", "text", "spans"), _rest_batches, "uid long, kept_sha256 string")
     rows = docs.select("doc_id", "uid", "n_bytes", F.sha2("text", 256).alias("whole"))
     told = rows.join(unions, "uid", "left").join(rest, "uid", "left")
     none = F.lit(0).cast("long")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, shuffle_partitions
+from .common import arrow, cut, shuffle_partitions
 
 BLOCK_VALUES = 1 << 17
 CHUNK = 16
@@ -170,16 +170,16 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     integer components: query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
     shards = shuffle_partitions(spark)
-    blocks = vectors.mapInArrow(_pack_batches, BLOCK_SCHEMA).select(*[F.col(c).alias(f"c_{c}") for c in ("block", "n", "d", "ids", "impacts")])
+    blocks = arrow(vectors, _pack_batches, BLOCK_SCHEMA).select(*[F.col(c).alias(f"c_{c}") for c in ("block", "n", "d", "ids", "impacts")])
     blocks = blocks.withColumn("shard", F.pmod(F.xxhash64("c_ids"), F.lit(shards)).cast("int"))
-    asked = queries.mapInArrow(_pack_batches, BLOCK_SCHEMA).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    asked = arrow(queries, _pack_batches, BLOCK_SCHEMA).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     # One row per pair of blocks, each of bounded bytes; few of them at a time go to Python.
     pairs = blocks.join(asked.hint("merge"), "shard")
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     was = spark.conf.get(name)
     spark.conf.set(name, PAIR_ROWS)
     try:
-        found = cut(pairs.mapInArrow(_pair_batches(k), TOP_SCHEMA), "top")
+        found = cut(arrow(pairs, _pair_batches(k), TOP_SCHEMA), "top")
     finally:
         spark.conf.set(name, was)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

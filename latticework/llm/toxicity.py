@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import arrow
+
 SAMPLE = 1_500
 FIT_TOKENS = 150_000
 THRESHOLD = 0.3
@@ -325,7 +327,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, model: Model | None = None) ->
     model = model or train(docs, labels)
     text = F.coalesce(F.col("text"), F.lit(""))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("uid"), F.xxhash64(text).alias("xh"), text.alias("text"))
-    scored = base.mapInArrow(_score_batches(model), SCORE_SCHEMA)
+    scored = arrow(base, _score_batches(model), SCORE_SCHEMA)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "spans", "uid", "xh")
 
 
@@ -348,4 +350,4 @@ def _keep_batches(model: Model):
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, all columns; one pass, no exchange."""
-    return docs.mapInArrow(_keep_batches(train(docs, labels)), docs.schema)
+    return arrow(docs, _keep_batches(train(docs, labels)), docs.schema)
