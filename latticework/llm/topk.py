@@ -8,16 +8,18 @@ score; the others have none, so base plus the largest excesses bound every score
 
 For a query, the threshold starts at the k-th exact score among the best rows of its strongest
 postings.  Terms are ordered by largest excess; the weakest, whose excesses together cannot
-lift the base to the threshold, are non-essential.  Only rows in a posting of an essential term
-are traversed; the remaining terms are probed in chunks, strongest first, while a row's partial
-score plus the bound of what is left still reaches the threshold.  Shards' answers are merged.
+lift the base to the threshold, are non-essential.  The postings of essential terms are
+traversed, whatever their number, until every row has been met; rows in none of them are never
+scored.  The terms of the rows met are then probed in chunks, strongest first, while a row's
+partial score plus the bound of what is left still reaches the threshold.  Shards' answers are
+merged.  ``met`` counts the rows that the traversals met, of ``held`` rows that they could have.
 
 Query blocks meet candidate blocks, never rows rows; a block holds a bounded number of bytes.
 Defined results: vectors that are null or hold null or non-finite components take no part, nor
 do rows without an id; shorter vectors count as padded with zeros; candidates with the query's
 id are its own; a repeated query id is asked once; ties go to the smaller id; queries without
-candidates, and empty tables, give no rows; components beyond 2^61 count as 2^61 and scores
-beyond a long as the nearest one; other columns are not read.
+candidates, and empty tables, give no rows; components and
+scores beyond a long count as the nearest one (of components, that a double can hold); other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow, cut, shuffle_partitions
+from .common import arrow, cut, picked, shuffle_partitions
 
 BLOCK_VALUES = 1 << 17
 CHUNK = 16
@@ -74,7 +76,7 @@ class Shard:
     def __init__(self, ids: np.ndarray, impacts: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, rows = ids[order], impacts[order]
-        self.largest = int(np.abs(rows).max()) if rows.size else 0
+        self.largest = max(int(rows.max()), -int(rows.min())) if rows.size else 0
         self.rows = rows
         self.median = np.sort(rows, axis=0)[len(rows) // 2] if rows.size else np.zeros(rows.shape[1], np.int64)
         self.low, self.high = (rows.min(axis=0), rows.max(axis=0)) if rows.size else (self.median, self.median)
@@ -84,6 +86,7 @@ class Shard:
         self.below = (spread < self.median[:, None]).sum(axis=1)
         self.above = (spread <= self.median[:, None]).sum(axis=1)
         self.as_type: dict[type, np.ndarray] = {}
+        self.met = self.held = 0
 
     def values(self, kind: type) -> np.ndarray:
         if kind not in self.as_type:
@@ -100,7 +103,8 @@ class Shard:
         q = np.zeros(d, np.int64)
         q[: min(d, len(query))] = query[:d]
         # Sums of this size are exact in doubles; larger ones are formed with unbounded integers.
-        kind = float if self.largest * int(np.abs(q).max(initial=0)) * max(d, 1) < 1 << 52 else object
+        strongest = max(int(q.max()), -int(q.min())) if d else 0
+        kind = float if self.largest * strongest * max(d, 1) < 1 << 52 else object
         rows, weights = self.values(kind), q.astype(kind)
         others = self.ids != own
         if not others.any():
@@ -121,13 +125,16 @@ class Shard:
         if threshold is not None:
             # bound[i]: what the terms from i on can add to the base at most
             bound = np.concatenate((np.cumsum(excess[terms][::-1])[::-1], [0 * base]))
-            essential = int((base + bound >= threshold).sum())
-            essential = min(essential, len(terms))
-            if base < threshold and essential <= CHUNK:
+            essential = min(int((base + bound >= threshold).sum()), len(terms))
+            if base < threshold:  # else a row without any excess may be among the best
                 reached = np.zeros(n, bool)
-                for j in terms[:essential]:
+                for c, j in enumerate(terms[:essential]):
                     reached[self.posting(j, int(q[j]))] = True
+                    if c % 8 == 7 and reached.all():
+                        break
                 alive &= reached
+            self.met += int(alive.sum())
+            self.held += int(others.sum())
         at = np.flatnonzero(alive)
         partial = np.zeros(len(at), kind) + base
         for c in range(0, len(terms), CHUNK):
@@ -189,9 +196,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 def quantised(embeddings: DataFrame) -> DataFrame:
     """``(vec_id, v)`` with ``floor(256 * x)`` of every component, for rows that take part."""
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
-    most = float(1 << 61)
-    value = lambda x: F.floor(F.greatest(F.lit(-most), F.least(F.lit(most), x.cast("double") * 256))).cast("long")
-    rows = embeddings.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite)
+    most = float((1 << 63) - (1 << 10))  # the largest double that a long holds
+    value = lambda x: F.floor(F.greatest(F.lit(-float(1 << 63)), F.least(F.lit(most), x.cast("double") * 256))).cast("long")
+    rows = picked(embeddings, "vec_id", "embedding").where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite)
     return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", value).alias("v"))
 
 

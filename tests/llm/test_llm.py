@@ -220,8 +220,8 @@ def test_top_k(spark, empty):
     got: dict[int, list] = {}
     for r in topk.embedding_top_k(frame).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
-    clip = 1 << 61
-    ints = {i: [max(-clip, min(clip, int(np.floor(256 * x)))) for x in v] for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
+    low, high = -(1 << 63), (1 << 63) - (1 << 10)  # of doubles that a long holds
+    ints = {i: [max(low, min(high, int(np.floor(256 * x)))) for x in v] for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
     limit = (1 << 63) - 1
     for q, v in ints.items():
         if q % 50 == 0:
