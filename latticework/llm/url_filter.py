@@ -9,8 +9,8 @@ otherwise.  Branches of one parent that cannot be told apart by their share of b
 those below.  A merged branch is rejected if its labelled purity, smoothed towards the host's
 and that towards the whole corpus', reaches one half.
 
-Levels below the third count as one segment.  All steps are aggregates and joins; a host may
-hold any share of the rows.  Defined results: a null url, or one without ``://``, has empty
+The tree is as deep as the deepest path.  All steps are aggregates and joins; a host may hold
+any share of the rows.  Defined results: a null url, or one without ``://``, has empty
 host and path and is judged with the other such urls; nulls in other columns pass through;
 repeated rows are judged alike; no rows give no rows.
 """
@@ -20,11 +20,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, skew_join
+from .common import cut, picked, skew_join
 
 # Fixed values of the contract.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
-LEVELS = 4
+CUT_LEVELS = 6  # the lineage is cut after so many
 MANY, RARE_SHARE = 8, 0.2
 Z = 1.96
 PRIOR = 2.0
@@ -37,7 +37,7 @@ def parsed(pages: DataFrame) -> DataFrame:
     at = F.instr(url, "://")
     rest = F.when(at > 0, url.substr(at + 3, F.length(url))).otherwise("")
     host = F.translate(F.regexp_extract(rest, r"^([^/?#]*)", 1), UPPER, LOWER)
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1).alias("path"))
+    return picked(pages, "page_id", "url").select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1).alias("path"))
 
 
 def fitting(rules: tuple[tuple[str, str], ...]) -> tuple[Column, Column]:
@@ -52,9 +52,12 @@ def fitting(rules: tuple[tuple[str, str], ...]) -> tuple[Column, Column]:
 
 def grow(rows: DataFrame) -> DataFrame:
     """``rows(host, path)`` with columns parent and template, wildcards for variable segments."""
-    parts = F.split(F.trim(F.col("path"), F.lit("/")), "/", LEVELS)
-    rows = rows.withColumn("parts", parts).withColumn("parent", F.lit("")).withColumn("template", F.lit(""))
-    for level in range(LEVELS):
+    parts = F.split(F.trim(F.col("path"), F.lit("/")), "/")
+    rows = cut(rows.withColumn("parts", parts).withColumn("parent", F.lit("")).withColumn("template", F.lit("")), "paths")
+    depth = rows.agg(F.max(F.size("parts"))).first()[0] or 0
+    for level in range(depth):
+        if level and level % CUT_LEVELS == 0:
+            rows = cut(rows, "levels")
         rows = rows.withColumn("segment", F.get("parts", F.lit(level)))
         values = rows.where("segment is not null").groupBy("host", "template", "segment").agg(F.count("*").alias("n"))
         spread = values.groupBy("host", "template").agg((F.count("*") >= MANY).alias("many"), F.count("*").alias("values"), F.sum("n").alias("n"))
@@ -93,8 +96,8 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataF
     return told.select("page_id", "host", "path", "rule", F.coalesce("verdict", own).alias("verdict"), "template", "purity")
 
 
-def oracle(rules: tuple[tuple[str, str], ...] = RULES) -> str:
-    """The same judgement as DuckDB SQL."""
+def oracle(rules: tuple[tuple[str, str], ...] = RULES, depth: int = 8) -> str:
+    """The same judgement as DuckDB SQL, for paths of at most ``depth`` segments."""
     cases = {"rule": "", "verdict": ""}
     for text, decision in sorted(rules, key=lambda r: -len(r[0])):
         host, _, path = text.partition("/")
@@ -102,8 +105,8 @@ def oracle(rules: tuple[tuple[str, str], ...] = RULES) -> str:
         cases["rule"] += f" when {fits} then '{text}'"
         cases["verdict"] += f" when {fits} then '{decision}'"
     levels = ""
-    for k in range(1, LEVELS + 1):
-        segment = f"parts[{k}]" if k < LEVELS else f"case when len(parts) >= {LEVELS} then array_to_string(parts[{LEVELS}:], '/') end"
+    for k in range(1, depth + 1):
+        segment = f"parts[{k}]"
         levels += f"""
         s{k} as (select *, {segment} as segment from t{k - 1}),
         v{k} as (select host, template, count(*) >= {MANY} and count(*) > {RARE_SHARE} * sum(n) as variable
@@ -120,7 +123,7 @@ def oracle(rules: tuple[tuple[str, str], ...] = RULES) -> str:
             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from r),
         t0 as (select *, string_split(trim(path, '/'), '/') as parts, '' as parent, '' as template,
             case{cases["rule"]} end as rule, case{cases["verdict"]} end as verdict from p),{levels}
-        b as (select host, parent, template, count(*) filter (verdict = 'block') as b, count(verdict) as l from t{LEVELS} group by all),
+        b as (select host, parent, template, count(*) filter (verdict = 'block') as b, count(verdict) as l from t{depth} group by all),
         g as (select (sum(b) + 1.0::double) / (sum(l) + 2.0::double) as all_rate from b),
         h as (select host, (sum(b) + {PRIOR}::double * any_value(all_rate)) / (sum(l) + {PRIOR}::double) as host_rate from b, g group by host),
         q as (select host, parent, sum(b) as pb, sum(l) as pl from b group by all),
@@ -132,4 +135,4 @@ def oracle(rules: tuple[tuple[str, str], ...] = RULES) -> str:
         f as (select host, parent, template, (mb + {PRIOR}::double * host_rate) / (ml + {PRIOR}::double) as purity
             from n join m using (host, parent, lean))
     select page_id, host, path, rule, coalesce(verdict, case when purity >= {REJECT}::double then 'block' else 'allow' end) as verdict
-    from t{LEVELS} join f using (host, parent, template)"""
+    from t{depth} join f using (host, parent, template)"""
