@@ -3,8 +3,9 @@
 import corpus_pipeline as cp
 from pyspark.sql import functions as F
 
-from latticework.llm import bpe, simhash_dedup, toxicity
+from latticework.llm import bpe, toxicity
 from latticework.llm.common import table
+from test_near_dedup import brute
 
 DATA = "/root/testdata/sf0.001"
 
@@ -23,18 +24,7 @@ def test_stages(spark):
         best[key] = max(best.get(key, -1), r.doc_id)
     assert {r.doc_id for r in single.collect()} == set(best.values())
     near = cp.drop_near_copies(spark, single, DATA).cache()
-    rows = single.collect()
-    prints = [simhash_dedup.simhash((r.text or "").encode(), 5, (42, 43)) for r in rows]
-    label = list(range(len(rows)))
-    close = lambda a, b: (a[0] ^ b[0]).bit_count() <= 14 and (a[0] ^ b[0]).bit_count() + (a[1] ^ b[1]).bit_count() <= 28
-    for i in range(len(rows)):
-        for j in range(i):
-            if close(prints[i], prints[j]) and label[i] != label[j]:
-                label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
-    first = {}
-    for r, c in zip(rows, label, strict=True):
-        first[c] = min(first.get(c, r.doc_id), r.doc_id)
-    assert {r.doc_id for r in near.collect()} == set(first.values())
+    assert {r.doc_id for r in near.collect()} == brute([(r.doc_id, r.text) for r in single.collect()])
     mixed = cp.mix_sources(spark, near, DATA).cache()
     assert clean.columns == single.columns == near.columns == mixed.columns == docs.columns
     assert mixed.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 3
