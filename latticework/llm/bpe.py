@@ -35,10 +35,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, text_blocks
+from .common import arrow, picked, text_blocks
 
-CACHE_PIECES = 600_000
-BLOCK = 1 << 22  # bytes of text that are encoded together
+CACHE_PIECES = 400_000
+BLOCK = 1 << 21  # bytes of text that are encoded together
 # Unicode White_Space, which the library's patterns call white space.
 SPACE = "\\t\\n\\x0b\\f\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 DIGEST_SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -384,5 +384,5 @@ def _encode_batches(path: str, digest: bool, block: int = BLOCK):
 def encode(docs: DataFrame, path: str | None = None, digest: bool = False) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, n_tokens, and ids with the decoded
     text, or with ``digest`` the SHA-256 of each, taken where the tokens are made."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    base = picked(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     return arrow(base, _encode_batches(path or default_path(), digest), DIGEST_SCHEMA if digest else FULL_SCHEMA)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,9 +16,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import MapType, StructType
 
 BATCH_BYTES = 4 << 20
 
@@ -27,15 +28,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is configured (tests)."""
+    """The cluster's checkpoint folder; a temporary one only where none is set and driver and
+    executors are one machine (tests)."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="latticework-")
         sc.setCheckpointDir(named)
     return named.rstrip("/")
 
 
+def picked(df: DataFrame, *names: str) -> DataFrame:
+    """Columns of ``df`` by exact name; others may differ from them by case only."""
+    return numbered(df).select(*[F.col(f"c{df.columns.index(n)}").alias(n) for n in names])
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with columns ``c0, c1, ..``, beside which a column of any other name is new."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def row_key(df: DataFrame) -> Column:
+    """A hash of all columns of :func:`numbered`; rows of one key and id are taken as the same row."""
+    columns = [F.map_entries(f.name) if isinstance(f.dataType, MapType) else F.col(f.name) for f in df.schema.fields]
+    return F.xxhash64(*columns)
+
+
+def rows_of(docs: DataFrame, chosen: DataFrame, copies: bool = False) -> DataFrame:
+    """The rows of ``docs``, all columns, whose id and key are in ``chosen(doc_id, key)``, each
+    once or with ``copies`` as often as its column ``n`` says.  Equal rows count as one."""
+    names = docs.columns
+    inner = numbered(docs)
+    keyed = inner.select("*", F.col(f"c{names.index('doc_id')}").cast("long").alias("_d"), row_key(inner).alias("_h"))
+    chosen = chosen.select(F.col("doc_id").alias("_kd"), F.col("key").alias("_kh"), *(["n"] if copies else []))
+    # Both steps need equal rows together, so they share one exchange.
+    keyed = keyed.dropDuplicates(["_d", "_h"])
+    joined = keyed.join(chosen, F.col("_d").eqNullSafe(F.col("_kd")) & (F.col("_h") == F.col("_kh")), "inner" if copies else "left_semi")
+    if copies:
+        joined = joined.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    return joined.select(*inner.columns).toDF(*names)
+
+
 def cut(df: DataFrame, label: str = "t") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: computed once, no lineage behind it."""
     spark = df.sparkSession
@@ -46,11 +81,12 @@ def cut(df: DataFrame, label: str = "t") -> DataFrame:
     return out
 
 
-def drop(df: DataFrame) -> None:
-    """Delete a table made by :func:`cut` once nothing reads it any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.cut_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def drop(*tables: DataFrame) -> None:
+    """Delete tables made by :func:`cut` once nothing reads them any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.cut_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
@@ -110,7 +146,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)`` by alternating large-star and small-star.
 
     Returns ``(node, root)`` for every node with at least one edge to another one; ``root``
-    is the smallest node of its component.  Only minima are aggregated and joined, so no
+    is the smallest node of its component; :func:`drop` takes the result.  Only minima are aggregated and joined, so no
     neighbourhood is ever gathered in one task; each round is a written table.
     """
     now = cut(
@@ -145,5 +181,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         now = small
         was, state = state, now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if was == state:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            out = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            out.cut_path = now.cut_path
+            return out
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -2,8 +2,8 @@
 
 A text is cut into chunks; the fingerprint of a chunk is a polynomial in its bytes modulo
 two primes, and fingerprints of neighbouring chunks combine by
-``h(AB) = h(A) * base**len(B) + h(B)``, so a huge text is hashed chunk by chunk in any
-order.  Rows whose length and fingerprints agree are candidates; each is then compared with
+``h(AB) = h(A) * base**len(B) + h(B)``, so a huge text is hashed in parts by many tasks and
+their shifted fingerprints are summed.  Rows whose length and fingerprints agree are candidates; each is then compared with
 the candidate group's representative, chunk by chunk, and rows that differ anywhere (a
 collision) are split off by their digest.
 
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, cut, skew_join
+from .common import arrow, cut, drop, numbered, row_key, rows_of, shuffle_partitions, skew_join
 
 CHUNK = 1 << 16
 COMPARE_CHUNK = 1 << 20
@@ -30,7 +30,12 @@ SALT_ROWS = 2_000
 PRIMES = (2147483647, 2147483629)
 BASES = (911382323, 972663749)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-FP_SCHEMA = "doc_id long, xh long, uid long, n_bytes long, h1 long, h2 long, sha string"
+IDS = ("doc_id", "xh", "key", "uid")
+PART = 1 << 20
+# Candidates of up to so many rows of a few numbers are broadcast, more are joined by exchange.
+BROADCAST_ROWS = 200_000
+FP_SCHEMA = "doc_id long, xh long, key long, uid long, n_bytes long, h1 long, h2 long, sha string"
+PART_SCHEMA = "doc_id long, xh long, key long, uid long, n_bytes long, sha string, h1 long, h2 long"
 
 
 def power_table(base: int, prime: int, n: int) -> np.ndarray:
@@ -90,26 +95,52 @@ def fingerprints(texts: list[bytes], chunk: int = CHUNK, block: int = 1 << 21) -
 
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fingerprints of whole texts."""
     for batch in batches:
         texts = [t.encode().lower() for t in batch.column("text").to_pylist()]
         pairs = fingerprints(texts)
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("doc_id"),
-                batch.column("xh"),
-                batch.column("uid"),
-                pa.array([len(t) for t in texts], pa.int64()),
-                pa.array([a for a, _ in pairs], pa.int64()),
-                pa.array([b for _, b in pairs], pa.int64()),
-                pa.array([hashlib.sha256(t).hexdigest() for t in texts]),
-            ],
-            names=["doc_id", "xh", "uid", "n_bytes", "h1", "h2", "sha"],
-        )
+        columns = [
+            pa.array([len(t) for t in texts], pa.int64()),
+            pa.array([a for a, _ in pairs], pa.int64()),
+            pa.array([b for _, b in pairs], pa.int64()),
+            pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()),
+        ]
+        yield pa.RecordBatch.from_arrays([*map(batch.column, IDS), *columns], names=[*IDS, "n_bytes", "h1", "h2", "sha"])
+
+
+def _part_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fingerprints of parts, each shifted by the length of what follows it in its text."""
+    for batch in batches:
+        parts = [t.lower() for t in batch.column("part").to_pylist()]
+        behind = [n - at - len(p) for n, at, p in zip(batch.column("n_bytes").to_pylist(), batch.column("at").to_pylist(), parts, strict=True)]
+        pairs = fingerprints(parts)
+        shifted = [pa.array([h[k] * pow(BASES[k], b, PRIMES[k]) % PRIMES[k] for h, b in zip(pairs, behind, strict=True)], pa.int64()) for k in (0, 1)]
+        names = [*IDS, "n_bytes", "sha"]
+        yield pa.RecordBatch.from_arrays([*map(batch.column, names), *shifted], names=[*names, "h1", "h2"])
+
+
+def _fingerprinted(base: DataFrame, part: int) -> DataFrame:
+    """Fingerprints of all texts.  Those longer than ``part`` bytes are dealt out in parts, whose
+    shifted fingerprints add up to the text's, so one huge text keeps many tasks busy."""
+    size = F.octet_length("text")
+    uid = F.monotonically_increasing_id()
+    short = arrow(base.withColumn("uid", uid * 2).where(size <= part), _fingerprint_batches, FP_SCHEMA)
+    long = base.withColumn("uid", uid * 2 + 1).where(size > part)
+    long = long.select(*IDS, size.cast("long").alias("n_bytes"), F.sha2(F.translate("text", UPPER, LOWER), 256).alias("sha"), F.encode("text", "UTF-8").alias("bytes"))
+    parts = long.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_bytes") - 1, F.lit(part).cast("long"))))
+    parts = parts.withColumn("part", F.expr(f"substring(bytes, cast(at as int) + 1, {part})")).drop("bytes")
+    parts = parts.repartition(shuffle_partitions(base.sparkSession), "uid", "at")
+    hashed = arrow(parts, _part_batches, PART_SCHEMA).groupBy(*IDS, "n_bytes", "sha")
+    sums = [(F.sum(h) % p).alias(h) for h, p in zip(("h1", "h2"), PRIMES, strict=True)]
+    return short.unionByName(hashed.agg(*sums))
 
 
 def _base(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("xh"))
+    """``docs`` as (doc_id, text, xh, key): xh tells raw texts apart, key whole rows."""
+    inner = numbered(docs)
+    doc_id, text = (F.col(f"c{docs.columns.index(n)}") for n in ("doc_id", "text"))
+    text = F.coalesce(text, F.lit(""))
+    return inner.select(doc_id.cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("xh"), row_key(inner).alias("key"))
 
 
 def _unequal(base: DataFrame, fps: DataFrame) -> DataFrame:
@@ -120,6 +151,9 @@ def _unequal(base: DataFrame, fps: DataFrame) -> DataFrame:
     )
     # Equal raw texts of one id need no comparison; each (id, raw hash) is compared once.
     cand = skew_join(fps.select("doc_id", "xh", "n_bytes", "h1", "h2"), groups, ["n_bytes", "h1", "h2"]).drop("h1", "h2").distinct()
+    cand = cut(cand, "cand")
+    if cand.count() <= BROADCAST_ROWS:
+        cand = F.broadcast(cand)
     text = F.translate("text", UPPER, LOWER)
     same_row = F.col("t.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("t.xh") == F.col("c.xh"))
     texts = cut(
@@ -142,29 +176,29 @@ def _unequal(base: DataFrame, fps: DataFrame) -> DataFrame:
     return pair.where("r_chunk is null or chunk <> r_chunk").select("doc_id", "xh", F.lit(True).alias("bad")).distinct()
 
 
-def exact_dedup(docs: DataFrame) -> DataFrame:
+def exact_dedup(docs: DataFrame, part: int = PART) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``.
 
-    Columns: doc_id, keep_id, group_size, kept, text_sha256, xh (hash of the raw text).
+    Columns: doc_id, keep_id, group_size, kept, text_sha256, xh and key (hashes of the raw text and of the whole row).
     """
     base = _base(docs)
-    fps = cut(arrow(base.withColumn("uid", F.monotonically_increasing_id()), _fingerprint_batches, FP_SCHEMA), "fps")
+    fps = cut(_fingerprinted(base, part), "fps")
     bad = _unequal(base, fps)
     on = F.col("f.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("f.xh") == F.col("b.xh"))
     rows = fps.alias("f").join(bad.alias("b"), on, "left").select("f.*", F.when(F.col("b.bad"), F.col("f.sha")).otherwise("").alias("tag"))
     rows = cut(rows, "rows")
     keys = ["n_bytes", "h1", "h2", "tag"]
-    classes = rows.groupBy(*keys).agg(F.count("*").alias("group_size"), F.max(F.struct("doc_id", "uid")).alias("keep"))
+    classes = rows.groupBy(*keys).agg(F.count("*").alias("group_size"), F.max(F.struct("doc_id", "key", "uid")).alias("keep"))
     return skew_join(rows, classes, keys).select(
-        "doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("uid") == F.col("keep.uid")).alias("kept"), F.col("sha").alias("text_sha256"), "xh"
+        "doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("uid") == F.col("keep.uid")).alias("kept"), F.col("sha").alias("text_sha256"), "xh", "key"
     )
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that exact dedup keeps, all columns, one row per distinct text."""
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("xh").alias("_xh"))
-    names = docs.columns
-    keyed = docs.select("*", F.col("doc_id").cast("long").alias("_d"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("_h"))
-    # Repeated rows (same id, same text) agree on both keys; dropDuplicates shares the join's exchange.
-    joined = keyed.join(kept, F.col("_d").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_xh")), "left_semi")
-    return joined.dropDuplicates(["_d", "_h"]).select(*names)
+    """The rows of ``docs`` that exact dedup keeps, all columns, one row per distinct text.
+
+    Of equal texts the row of the largest id stays, a null id being the smallest; among rows of
+    one id the one whose hash of all columns is largest.  Null and empty texts are equal; no rows
+    give no rows; columns may have any names."""
+    kept = exact_dedup(docs).where("kept").select("doc_id", "key")
+    return rows_of(docs, cut(kept, "kept"))

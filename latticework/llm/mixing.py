@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, skew_join
+from .common import cut, drop, numbered, picked, row_key, rows_of, skew_join
 
 MAX_COPIES = 3
 PART_ROWS = 2_000
@@ -116,10 +116,15 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3)) -> DataFrame:
     """One row per row of ``docs(doc_id, text, source)``.
 
     Columns: doc_id, size, source_size, target, taken, copies, xh (hash of the raw text)."""
+    return _mixed(picked(docs, "doc_id", "text", "source").withColumn("xh", F.xxhash64(F.coalesce(F.col("text"), F.lit("")))), weights)
+
+
+def _mixed(docs: DataFrame, weights: tuple[float, ...]) -> DataFrame:
+    """:func:`mix` for ``docs(doc_id, text, source, xh)``; ``xh`` is any hash that tells rows apart."""
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = cut(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(WORDS)).cast("long").alias("size"), F.xxhash64(text).alias("xh")),
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(WORDS)).cast("long").alias("size"), "xh"),
         "sizes",
     )
     counted = cut(rows.groupBy("source", "size").agg(F.count("*").alias("n")), "classes")
@@ -184,10 +189,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3)) -> DataFrame:
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3)) -> DataFrame:
     """``docs`` with each row repeated as often as the mix takes it, all columns.
 
-    Repeated rows that agree in id and text count together."""
-    names = docs.columns
-    copies = mix(docs, weights).groupBy("doc_id", "xh").agg(F.sum("copies").alias("_n")).where("_n > 0")
-    copies = copies.select(F.col("doc_id").alias("_kd"), F.col("xh").alias("_kh"), "_n")
-    keyed = docs.select("*", F.col("doc_id").cast("long").alias("_d"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("_h")).dropDuplicates(["_d", "_h"])
-    joined = keyed.join(copies, F.col("_d").eqNullSafe(F.col("_kd")) & (F.col("_h") == F.col("_kh")))
-    return joined.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(*names)
+    Rows are told apart by id and a hash of all columns; rows that agree in all of them are the
+    same and their copies count together.  Null texts and texts without words are never taken; a
+    null source is one of its own; no rows give no rows; columns may have any names."""
+    inner = numbered(docs)
+    columns = [F.col(f"c{docs.columns.index(n)}").alias(n) for n in ("doc_id", "text", "source")]
+    copies = _mixed(inner.select(*columns, row_key(inner).alias("xh")), weights).groupBy("doc_id", F.col("xh").alias("key")).agg(F.sum("copies").alias("n"))
+    return rows_of(docs, cut(copies.where("n > 0"), "taken"), copies=True)

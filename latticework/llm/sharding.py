@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, picked
 
 ROW_BYTES = 16
 DIGIT = 12
@@ -121,7 +121,7 @@ def shard(docs: DataFrame, n_shards: int = 40) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = cut(
-        docs.select(
+        picked(docs, "doc_id", "text").select(
             F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("doc_id"),
             F.col("doc_id").isNull().alias("no_id"),
             (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"),

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, components, cut, shuffle_partitions, skew_join
+from .common import arrow, components, cut, drop, numbered, picked, row_key, rows_of, shuffle_partitions, skew_join
 
 BITS, TAU = 64, 3
 BUCKET_ROWS = 1 << 14
@@ -342,6 +342,7 @@ def simhash_dedup(docs: DataFrame, width: int = 3, tau: int = TAU) -> DataFrame:
 
     ``kept`` marks one row per component, that of the smallest id."""
     text = F.coalesce(F.col("text"), F.lit(""))
+    docs = picked(docs, "doc_id", "text")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("xh"), F.monotonically_increasing_id().alias("uid"))
     fps = cut(arrow(base, _simhash_batches(width, (SEED,)), FP_SCHEMA), "fps")
     nodes = cut(fps.groupBy("fp").agg(F.min("fp2").alias("fp2"), F.min("doc_id").alias("low"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("first")), "nodes")
@@ -515,11 +516,12 @@ def _set_blocks(entries: DataFrame, sizes: DataFrame) -> DataFrame:
     return mine.select(key.alias("key"), half.alias("half"), *[c for c in entries.columns if c != "key"])
 
 
-def jaccard_links(base: DataFrame, fps: DataFrame, width: int, bucket_rows: int = BUCKET_ROWS, run_shingles: int = RUN_SHINGLES) -> DataFrame:
+def jaccard_links(base: DataFrame, fps: DataFrame, width: int, bucket_rows: int = BUCKET_ROWS, run_shingles: int = RUN_SHINGLES, made: list[DataFrame] | None = None) -> DataFrame:
     """Links ``(a, b)`` spanning the sets ``id`` of ``fps`` joined by steps of Jaccard 0.8 or more.
 
     Sets meet in the buckets of their prefixes' shingles.  What sizes and sketches leave of
-    these pairs joins sets to groups, and inside a group every step is confirmed by the texts."""
+    these pairs joins sets to groups, and inside a group every step is confirmed by the texts.
+    Tables that the result reads are added to ``made``."""
     spark = base.sparkSession
     parts = shuffle_partitions(spark)
     nodes = cut(fps.dropDuplicates(["id"]), "sets")
@@ -527,7 +529,9 @@ def jaccard_links(base: DataFrame, fps: DataFrame, width: int, bucket_rows: int
     hot = cut(entries.groupBy("key").count().where(F.col("count") > bucket_rows).select("key", F.ceil(2 * F.col("count") / bucket_rows).cast("int").alias("blocks")), "hot")
     entries = entries.withColumn("half", F.lit(-1)) if hot.isEmpty() else _set_blocks(entries, hot)
     runs = entries.repartition(parts, "key").sortWithinPartitions("key", "fp").select("key", "half", "id", "n", "fp", "fp2")
-    groups = cut(components(arrow(runs, _set_links(None), "a long, b long")), "groups")
+    groups = components(arrow(runs, _set_links(None), "a long, b long"))
+    if made is not None:
+        made += [nodes, groups]
     members = groups.select(F.col("node").alias("id"), F.col("root").alias("key")).union(groups.select("root", "root").distinct()).distinct()
     members = nodes.drop("prefix").join(members, "id")
     sizes = members.groupBy("key").agg(F.sum("n").alias("s")).where(F.col("s") > run_shingles).select("key", F.ceil(2 * F.col("s") / run_shingles).cast("int").alias("blocks"))
@@ -539,17 +543,20 @@ def jaccard_links(base: DataFrame, fps: DataFrame, width: int, bucket_rows: int
 
 def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:
     """The rows of ``docs`` that stay, one per component of steps of shingle Jaccard 0.8 or more,
-    that of the smallest id, all columns.
-
-    Rows are found again by id and text hash; of repeated rows that agree on both, one stays."""
-    names = docs.columns
-    text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("xh"), text.alias("text"))
+    that of the smallest id (a null id is the largest), all columns.
+
+    Among rows of one id that of the smallest hashes stays.  Texts without words, null ones
+    included, are near copies of each other only; no rows give no rows; columns may have any
+    names."""
+    inner = numbered(docs)
+    doc_id, text = (F.col(f"c{docs.columns.index(n)}") for n in ("doc_id", "text"))
+    text = F.coalesce(text, F.lit(""))
+    base = inner.select(doc_id.cast("long").alias("doc_id"), row_key(inner).alias("xh"), text.alias("text"))
     fps = cut(arrow(base, _set_batches(width, _common(base, width)), SET_SCHEMA), "fps")
-    links = components(jaccard_links(base, fps, width))
+    made: list[DataFrame] = [fps]
+    links = components(jaccard_links(base, fps, width, made=made))
     firsts = fps.groupBy("id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "xh")).alias("first"))
     rooted = firsts.join(links, firsts.id == links.node, "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("first").alias("first"))
-    rows = rooted.select(F.col("first.doc_id").alias("_kd"), F.col("first.xh").alias("_kh"))
-    keyed = docs.select("*", F.col("doc_id").cast("long").alias("_d"), F.xxhash64(text).alias("_h"))
-    joined = keyed.join(rows, F.col("_d").eqNullSafe(F.col("_kd")) & (F.col("_h") == F.col("_kh")), "left_semi")
-    return joined.dropDuplicates(["_d", "_h"]).select(*names)
+    kept = cut(rooted.select(F.col("first.doc_id").alias("doc_id"), F.col("first.xh").alias("key")), "kept")
+    drop(links, *made)
+    return rows_of(docs, kept)

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, cut, shuffle_partitions, skew_join
+from .common import arrow, cut, picked, shuffle_partitions, skew_join
 
 WINDOW, GRAM = 200, 128
 BASE = 0x9E3779B97F4A7C15
@@ -363,7 +363,7 @@ def repeated_ranges(docs: DataFrame, group_pieces: int = GROUP_PIECES) -> tuple[
 def suffix_dedup(docs: DataFrame, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
+    docs = picked(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
     ids = docs.agg(F.count("*").alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
     docs = docs.withColumn("uid", F.col("doc_id") if ids.rows == ids.ids else F.xxhash64("doc_id", "text"))
     ranges, texts = repeated_ranges(docs, group_pieces)

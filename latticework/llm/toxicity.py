@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow
+from .common import arrow, numbered, picked, text_blocks
 
 SAMPLE = 1_500
 FIT_TOKENS = 150_000
@@ -41,8 +41,8 @@ MIN_SUPPORT = 2
 MIN_LOG_ODDS = 2.5
 MIN_DOCS, MIN_Z = 3, 3.5
 PREFIXES = (4, 5, 6, 7)
-SCAN_TOKENS = 1 << 19
-CACHE_WORDS = 300_000
+SCAN_BYTES = 1 << 20
+CACHE_WORDS = 200_000
 WORD = re.compile(r"[^\W\d_]+")
 SCORE_SCHEMA = "doc_id long, uid long, xh long, score double, spans array<struct<start:int,end:int>>"
 
@@ -158,7 +158,7 @@ def fit(rows: Iterable[tuple[str, int]], rounds: int = 40) -> Model:
         spelled: dict[str, int] = {}
         toxic, sizes = [], []
         for text, label in rows:
-            words = np.fromiter((spelled.setdefault(w.group(), len(spelled)) for w in WORD.finditer(text.lower())), np.int32)
+            words = np.fromiter((spelled.setdefault(w.group().lower(), len(spelled)) for w in WORD.finditer(text)), np.int32)
             file.write(words.tobytes())
             toxic.append(label)
             sizes.append(len(words))
@@ -255,7 +255,7 @@ def _fit(words: np.ndarray, spelled: list[str], sizes: np.ndarray, toxic: list[i
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on labelled rows of ``docs`` that are not held out, at most ``SAMPLE`` of each class."""
-    usable = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    usable = picked(labels, "doc_id", "toxic").where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     usable = usable.where(~held_out(F.col("doc_id")))
     order = F.xxhash64(F.col("doc_id").cast("string"))
     chosen = None
@@ -263,7 +263,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         part = usable.where(F.col("toxic") == label).orderBy(order, "doc_id").limit(SAMPLE)
         chosen = part if chosen is None else chosen.union(part)
     # At most 2 * SAMPLE rows of two numbers: small enough to broadcast at any input size.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text is not null")
+    rows = picked(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text is not null")
     rows = rows.groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     rows = rows.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id")
     return fit((r.text, int(r.toxic)) for r in rows.toLocalIterator())
@@ -278,7 +278,7 @@ def _score_texts(model: Model, texts: list[str], cache: dict[str, float]) -> tup
         cache.clear()
     words, lengths = [], []
     for text in texts:
-        found = WORD.findall(text.lower())
+        found = list(map(str.lower, WORD.findall(text)))
         words += found
         lengths.append(len(found))
     for w in set(words).difference(cache):
@@ -296,7 +296,7 @@ def _score_texts(model: Model, texts: list[str], cache: dict[str, float]) -> tup
     for word, doc in zip(flagged.tolist(), np.searchsorted(ends, flagged, side="right").tolist(), strict=True):
         by_doc.setdefault(doc, set()).add(word - int(ends[doc] - size[doc]))
     for doc, wanted in by_doc.items():
-        spans[doc] = [m.span() for k, m in enumerate(WORD.finditer(texts[doc].lower())) if k in wanted]
+        spans[doc] = [m.span() for k, m in enumerate(WORD.finditer(texts[doc])) if k in wanted]
     return score.tolist(), spans
 
 
@@ -305,19 +305,12 @@ def _score_batches(model: Model):
         cache: dict[str, float] = {}
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
-            at = 0
-            while at < batch.num_rows:  # texts are taken whole, as many as fill a scan
-                texts, held = [], 0
-                while at + len(texts) < batch.num_rows and (not texts or held < SCAN_TOKENS * 6):
-                    texts.append(batch.column("text")[at + len(texts)].as_py())
-                    held += len(texts[-1])
-                score, spans = _score_texts(model, texts, cache)
-                part = batch.slice(at, len(texts))
+            for part in text_blocks(batch, SCAN_BYTES):
+                score, spans = _score_texts(model, part.column("text").to_pylist(), cache)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("uid"), part.column("xh"), pa.array(score, pa.float64()), pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], kind)],
                     names=["doc_id", "uid", "xh", "score", "spans"],
                 )
-                at += len(texts)
 
     return run
 
@@ -326,28 +319,26 @@ def toxicity(docs: DataFrame, labels: DataFrame, model: Model | None = None) ->
     """One row per row of ``docs(doc_id, text)``: doc_id, held_out, score, predicted, spans, uid, xh."""
     model = model or train(docs, labels)
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("uid"), F.xxhash64(text).alias("xh"), text.alias("text"))
+    base = picked(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("uid"), F.xxhash64(text).alias("xh"), text.alias("text"))
     scored = arrow(base, _score_batches(model), SCORE_SCHEMA)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "spans", "uid", "xh")
 
 
-def _keep_batches(model: Model):
+def _keep_batches(model: Model, column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, float] = {}
         for batch in batches:
-            column, at = batch.column(batch.schema.get_field_index("text")), 0
-            while at < batch.num_rows:
-                texts, held = [], 0
-                while at + len(texts) < batch.num_rows and (not texts or held < SCAN_TOKENS * 6):
-                    texts.append(column[at + len(texts)].as_py() or "")
-                    held += len(texts[-1])
-                score, _ = _score_texts(model, texts, cache)
-                yield batch.slice(at, len(texts)).filter(pa.array([x < THRESHOLD for x in score], pa.bool_()))
-                at += len(texts)
+            for part in text_blocks(batch, SCAN_BYTES, column):
+                score, _ = _score_texts(model, [t or "" for t in part.column(column).to_pylist()], cache)
+                yield part.filter(pa.array([x < THRESHOLD for x in score], pa.bool_()))
 
     return run
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, all columns; one pass, no exchange."""
-    return arrow(docs, _keep_batches(train(docs, labels)), docs.schema)
+    """The rows of ``docs`` that are not predicted toxic, all columns; one pass, no exchange.
+
+    Every row is judged by its own text, so repeated rows stay or go together; a null text
+    counts as empty; no rows give no rows; columns may have any names."""
+    model, inner = train(docs, labels), numbered(docs)
+    return arrow(inner, _keep_batches(model, f"c{docs.columns.index('text')}"), inner.schema).toDF(*docs.columns)
