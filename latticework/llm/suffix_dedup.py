@@ -15,11 +15,13 @@ The array is built only where it is needed, in four distributed steps:
 2. Equal pieces of a minimiser are collapsed: a piece that occurs twice repeats as a whole.
 3. The different pieces of a minimiser meet in one task, which concatenates many groups, the
    shared minimiser as one symbol, builds their suffix array, and marks the windows that have
-   an equal neighbour.  A minimiser with more than ``GROUP_PIECES`` different pieces is spread
-   instead: its windows are counted by their digest, which is exact as well.
+   an equal neighbour.  Pieces are first trimmed to the windows whose hash occurs twice.  A
+   minimiser with more than ``GROUP_PIECES`` different pieces would be a hot group: its windows
+   are dealt out and counted by their bytes instead.
 4. Marked windows become byte ranges of their documents, which are merged and cut out.
 
-Counts and comparisons are aggregates with map-side combination, so a text copied into a third
+Equal pieces are found by two 64-bit hashes (of the minimiser and of all bytes) and their shape;
+everything else is compared by bytes.  Counts and comparisons are aggregates with map-side combination, so a text copied into a third
 of all rows costs one row a task; nothing gathers a group of copies.
 
 Defined results: a null text counts as empty; texts shorter than a window keep all bytes;
@@ -47,6 +49,7 @@ SEGMENT = 1 << 23
 GROUP_PIECES = 2_000
 BATCH_SYMBOLS = 60_000
 PIECE_SCHEMA = "uid long, at long, n int, off int, h long, ph long"
+SLICE_SCHEMA = "uid long, h long, at long, n int, off int, pieces long, raw binary"
 RANGE_SCHEMA = "uid long, a long, b long"
 
 
@@ -178,8 +181,50 @@ def suffix_array(text: list[int]) -> list[int]:
     return out
 
 
+def hopeful(rows: list[tuple[int, bytes, int, int]]) -> list[tuple[int, int, int]]:
+    """The pieces ``(minimiser, bytes, windows, offset)`` that may hold a repeated window: their
+    numbers, with the first and last such window.  Equal windows have equal hashes, and their
+    minimiser at the same place, so none is lost."""
+    n = np.array([r[2] for r in rows], np.int64)
+    lens = np.array([len(r[1]) for r in rows], np.int64)
+    codes = CODES[np.frombuffer(b"".join(r[1] for r in rows), np.uint8)]
+    powers = np.full(len(codes), BASE, np.uint64)
+    powers[0] = 1
+    np.multiply.accumulate(powers, out=powers)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(codes * powers, dtype=np.uint64)))
+    inverse = np.full(len(codes), pow(BASE, -1, 1 << 64), np.uint64)
+    inverse[0] = 1
+    np.multiply.accumulate(inverse, out=inverse)
+    piece = np.repeat(np.arange(len(rows)), n)
+    w = np.arange(len(piece)) - np.repeat(np.cumsum(n) - n, n)
+    at = w + np.repeat(np.cumsum(lens) - lens, n)
+    key = (sums[at + WINDOW] - sums[at]) * inverse[at]
+    key ^= np.repeat(np.array([r[0] for r in rows], np.int64).view(np.uint64), n) * np.uint64(BASE)
+    key += (np.repeat(np.array([r[3] for r in rows], np.int64), n) - w).astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+    order = np.argsort(key, kind="stable")
+    same = key[order][1:] == key[order][:-1]
+    again = np.zeros(len(key), bool)
+    again[order[1:][same]] = again[order[:-1][same]] = True
+    found = np.flatnonzero(again)
+    if not len(found):
+        return []
+    heads = np.flatnonzero(np.concatenate(([True], piece[found][1:] != piece[found][:-1])))
+    lasts = np.append(heads[1:], len(found)) - 1
+    return list(zip(piece[found[heads]].tolist(), w[found[heads]].tolist(), w[found[lasts]].tolist(), strict=True))
+
+
 def repeated_windows(rows: list[tuple[int, bytes, int, int]]) -> list[list[int]]:
     """For pieces ``(minimiser, bytes, windows, offset)``: the windows that occur in them twice."""
+    out: list[list[int]] = [[] for _ in rows]
+    some = hopeful(rows)
+    trimmed = [(rows[k][0], rows[k][1][a : b + WINDOW], b - a + 1, rows[k][3] - a) for k, a, b in some]
+    for (k, a, _), windows in zip(some, _array_repeats(trimmed), strict=True):
+        out[k] = [a + w for w in windows]
+    return out
+
+
+def _array_repeats(rows: list[tuple[int, bytes, int, int]]) -> list[list[int]]:
+    """:func:`repeated_windows` by one suffix array over all the pieces."""
     symbols: list[int] = []
     owner: list[int] = []
     heads: list[int] = []
@@ -321,12 +366,27 @@ def _rest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column("uid"), pa.array(digests, pa.string())], names=["uid", "kept_sha256"])
 
 
+def _slice_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of a text's border pieces; a text is encoded once for all of them."""
+    names = ["h", "at", "n", "off", "pieces"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
+    for batch in batches:
+        for k in range(batch.num_rows):
+            raw, uid = batch.column("text")[k].as_py().encode(), batch.column("uid")[k].as_py()
+            own = batch.column("border")[k].as_py()
+            for at in range(0, len(own), 10_000):
+                part = own[at : at + 10_000]
+                columns = [pa.array([r[name] for r in part], kind) for name, kind in zip(names, kinds, strict=True)]
+                cuts = pa.array([raw[r["at"] : r["at"] + r["n"] - 1 + WINDOW] for r in part], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([uid] * len(part), pa.int64()), *columns, cuts], names=["uid", *names, "raw"])
+
+
 def _crowded(slices: DataFrame) -> DataFrame:
-    """Repeated windows of minimisers with very many pieces: windows counted by digest."""
-    windows = slices.select("uid", "at", "h", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("w"), "raw")
-    windows = windows.select("uid", (F.col("at") + F.col("w")).alias("a"), "h", F.expr(f"md5(substring(raw, w + 1, {WINDOW}))").alias("digest"))
-    twice = windows.groupBy("h", "digest").count().where("count > 1").drop("count")
-    return skew_join(windows, twice, ["h", "digest"]).select("uid", "a", (F.col("a") + WINDOW).alias("b"))
+    """Repeated windows of minimisers with very many pieces: windows counted by their bytes."""
+    windows = slices.select("uid", "at", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("w"), "raw")
+    windows = windows.select("uid", (F.col("at") + F.col("w")).alias("a"), F.expr(f"substring(raw, w + 1, {WINDOW})").alias("window"))
+    twice = windows.groupBy("window").count().where("count > 1").drop("count")
+    return skew_join(windows, twice, ["window"]).select("uid", "a", (F.col("a") + WINDOW).alias("b"))
 
 
 def repeated_ranges(docs: DataFrame, group_pieces: int = GROUP_PIECES) -> tuple[DataFrame, DataFrame]:
@@ -351,8 +411,9 @@ def repeated_ranges(docs: DataFrame, group_pieces: int = GROUP_PIECES) -> tuple[
     partly = docs.select("uid", "n_bytes").join(whole, "uid").where(F.col("windows") < F.col("n_bytes") - WINDOW + 1).select("uid")
     needed = border.select("uid").union(partly).distinct()
     texts = cut(docs.select("uid", "text").join(needed, "uid").dropDuplicates(["uid"]), "texts")
-    slices = border.join(texts, "uid")
-    slices = cut(slices.select("h", "uid", "at", "n", "off", "pieces", F.expr(f"substring(encode(text, 'UTF-8'), cast(at as int) + 1, n - 1 + {WINDOW})").alias("raw")), "slices")
+    # A text's pieces are fewer than its bytes, so its list is bounded by the text beside it.
+    listed = border.groupBy("uid").agg(F.collect_list(F.struct("h", "at", "n", "off", "pieces")).alias("border"))
+    slices = cut(arrow(listed.join(texts, "uid").select("uid", "border", "text"), _slice_batches, SLICE_SCHEMA), "slices")
     usual = slices.where(F.col("pieces") <= group_pieces)
     parts = usual.repartition(shuffle_partitions(docs.sparkSession), "h").select("h", "uid", "at", "n", "off", "raw").sortWithinPartitions("h", "uid", "at")
     marked = arrow(parts, _mark_batches, RANGE_SCHEMA)
