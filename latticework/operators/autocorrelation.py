@@ -8,6 +8,8 @@ Comparisons with the observed value are made on values rounded to ten decimals.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from .lineage import cut
 from .weights import cardinalities, lag
 
 DIGITS = 10
+PREFIX_ROWS = 100_000
 
 
 def checked(units: DataFrame, edges: DataFrame, column: str = "x") -> DataFrame:
@@ -31,12 +34,30 @@ def checked(units: DataFrame, edges: DataFrame, column: str = "x") -> DataFrame:
     return units.withColumn("z", x - F.lit(told.mean))
 
 
+def placed(units: DataFrame, permutations: int, seed: int, column: str = "z") -> DataFrame:
+    """``(p, o, pos, v)``: the place of unit ``o`` in permutation ``p``, from zero, and its value.
+
+    A place is the rank inside a prefix of the hash and the rows of the prefixes before it;
+    prefixes get longer with the units, so a task sorts ``PREFIX_ROWS`` of them or so."""
+    n = units.count()
+    digits = max(0, math.ceil(math.log(max(1, n / PREFIX_ROWS), 16)))
+    rows = units.select(F.col("i").alias("o"), F.col(column).alias("v"), F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("p"))
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.col("p").cast("string"), F.lit(":"), F.col("o").cast("string")))
+    rows = rows.withColumn("key", key).withColumn("prefix", F.substring("key", 1, digits))
+    rank = F.row_number().over(Window.partitionBy("p", "prefix").orderBy("key")) - 1
+    rows = rows.withColumn("rank", rank)
+    if digits:
+        counts = rows.groupBy("p", "prefix").agg(F.count("*").alias("n"))
+        offsets = counts.select("p", "prefix", (F.sum("n").over(Window.partitionBy("p").orderBy("prefix")) - F.col("n")).alias("before"))
+        rows = rows.join(offsets, ["p", "prefix"])
+    else:
+        rows = rows.withColumn("before", F.lit(0))
+    return rows.select("p", "o", (F.col("before") + F.col("rank")).cast("long").alias("pos"), "v")
+
+
 def permuted(units: DataFrame, permutations: int, seed: int, column: str = "z") -> DataFrame:
     """``(p, i, v)``: the value that unit ``i`` (dense index) gets in permutation ``p``."""
-    rows = units.select("i", F.col(column).alias("v"), F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("p"))
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.col("p").cast("string"), F.lit(":"), F.col("i").cast("string")))
-    place = F.row_number().over(Window.partitionBy("p").orderBy(key)) - 1
-    return rows.select("p", place.cast("long").alias("i"), "v")
+    return placed(units, permutations, seed, column).select("p", F.col("pos").alias("i"), "v")
 
 
 def _moran_sum(edges: DataFrame, values: DataFrame, by: list[str]) -> DataFrame:
@@ -106,6 +127,15 @@ def permutation_test(units: DataFrame, edges: DataFrame, statistic: str = "moran
     )
 
 
+def residual_moran(units: DataFrame, edges: DataFrame, permutations: int = 99, seed: int = 7, column: str = "x") -> tuple[float, float]:
+    """Moran's I about zero and its p-value; (0.0, 1.0) for values without variance."""
+    var = units.agg(F.var_pop(column)).first()[0]
+    if not var:
+        return 0.0, 1.0
+    row = permutation_test(units, edges, "moran", permutations, seed, center="zero", column=column).first()
+    return row.value, row.p_value
+
+
 def benjamini_hochberg(df: DataFrame, p: str = "p_value", order: str = "i", out: str = "q_value") -> DataFrame:
     """Adds q-values: the reverse running minimum of ``p * n / rank``, clipped to [0, 1].
 
@@ -127,33 +157,19 @@ def _label(z: Column, lagged: Column, significant: Column, island: Column | None
     return out if island is None else F.when(island, "Island").otherwise(out)
 
 
-def conditional_values(units: DataFrame, edges: DataFrame, permutations: int, seed: int, small: int = 2_000) -> DataFrame:
+def conditional_values(units: DataFrame, edges: DataFrame, permutations: int, seed: int) -> DataFrame:
     """``(i, p, slag)``: simulated lag of unit ``i`` when its neighbours' values are drawn without
     replacement from all other units.
 
-    Few units: the others are ranked by ``md5(seed:p:i:other)``.  Many: each draw takes
-    ``k`` of ``n - 1`` by Floyd's method on hashes, work in proportion to the edges.  That gives a
-    uniform set, and another hash shuffles it over the neighbours' weights."""
-    slots = edges.select("i", "weight", (F.row_number().over(Window.partitionBy("i").orderBy("j"))).alias("slot"))
+    A permutation puts the units in a ring; unit ``i`` takes the values of the units that follow
+    it there, as many as it has neighbours.  They are a uniform ordered draw from the others, and
+    the work is in proportion to edges and permutations at any number of units."""
     n = units.count()
-    draws = F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("p")
-    if n <= small:
-        asked = edges.groupBy("i").agg(F.count("*").alias("k")).select("i", "k", draws)
-        others = units.select(F.col("i").alias("o"), F.col("z").alias("v"))
-        pairs = asked.join(F.broadcast(others), F.col("i") != F.col("o"))  # at most `small` rows
-        key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("p").cast("string"), F.col("i").cast("string"), F.col("o").cast("string")))
-        ranked = pairs.withColumn("slot", F.row_number().over(Window.partitionBy("i", "p").orderBy(key))).where(F.col("slot") <= F.col("k"))
-        return ranked.join(slots, ["i", "slot"]).groupBy("i", "p").agg(F.sum(F.col("weight") * F.col("v")).alias("slag"))
-    asked = edges.groupBy("i").agg(F.count("*").alias("k")).select("i", F.col("k").cast("int").alias("k"), draws)
-    pick = lambda j: F.pmod(F.xxhash64(F.lit(seed), F.col("p"), F.col("i"), j), j + 1)
-    step = lambda acc, j: F.concat(acc, F.array(F.when(F.array_contains(acc, pick(j)), j).otherwise(pick(j))))
-    first = F.lit(n - 1).cast("long") - F.col("k")
-    drawn = F.aggregate(F.sequence(first, F.lit(n - 2).cast("long")), F.array().cast("array<bigint>"), step)
-    place = lambda o: F.struct(F.xxhash64(F.lit("slot"), F.lit(seed), F.col("p"), F.col("i"), o).alias("h"), o.alias("o"))
-    taken = asked.select("i", "p", F.posexplode(F.array_sort(F.transform(drawn, place))).alias("slot", "e")).select("i", "p", "slot", "e.o")
-    taken = taken.select("i", "p", (F.col("slot") + 1).alias("slot"), (F.col("o") + (F.col("o") >= F.col("i")).cast("long")).alias("o"))
-    valued = taken.join(units.select(F.col("i").alias("o"), F.col("z").alias("v")), "o").join(slots, ["i", "slot"])
-    return valued.groupBy("i", "p").agg(F.sum(F.col("weight") * F.col("v")).alias("slag"))
+    slots = edges.select("i", "weight", F.row_number().over(Window.partitionBy("i").orderBy("j")).alias("slot"))
+    ring = cut(placed(units, permutations, seed))  # read twice
+    asked = slots.join(ring.select("p", F.col("o").alias("i"), F.col("pos").alias("own")), "i")
+    asked = asked.select("i", "p", "weight", ((F.col("own") + F.col("slot")) % F.lit(n)).alias("pos"))
+    return asked.join(ring.select("p", "pos", "v"), ["p", "pos"]).groupBy("i", "p").agg(F.sum(F.col("weight") * F.col("v")).alias("slag"))
 
 
 def local_moran(units: DataFrame, edges: DataFrame, permutations: int = 99, seed: int = 7, alpha: float = 0.05, fdr: bool = True, column: str = "x") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import MISSING, dataclass, field, fields
 from pathlib import Path
 from typing import Any
 
@@ -14,6 +14,9 @@ from ..operators.ols import ROBUST
 from ..operators.validation import Design
 
 KINDS = ("rook", "queen", "knn", "distance_band")
+# Other names that configurations have for the same things.
+ALIASES = {"type": "kind", "boundary_tolerance": "tolerance", "predictors": "regressors", "robust_covariance": "robust", "transformation": "transform"}
+DISTANCE = ("distance", "distance_band")
 TRANSFORMS = ("binary", "row_standardized")
 SYMMETRIES = ("none", "union", "mutual")
 
@@ -58,6 +61,48 @@ def unique(names: list[str], what: str) -> None:
     check(len(set(names)) == len(names), f"names of {what} repeat")
 
 
+def made(kind: type, values: Any, what: str) -> Any:
+    """An object of a configuration class; unknown and missing keys are errors."""
+    check(isinstance(values, dict), f"{what} must be a mapping")
+    values = {ALIASES.get(k, k): v for k, v in values.items()}
+    if values.get("kind") in DISTANCE and kind is WeightSpec:
+        values["kind"] = "distance_band"
+    known = {f.name: f for f in fields(kind)}
+    unknown = sorted(set(values) - set(known))
+    check(not unknown, f"{what} has unknown keys: {', '.join(unknown)}")
+    missing = [n for n, f in known.items() if n not in values and f.default is MISSING and f.default_factory is MISSING]
+    check(not missing, f"{what} lacks {', '.join(missing)}")
+    return kind(**values)
+
+
+def known(kind: type, values: dict) -> dict:
+    unknown = sorted(set(values) - {f.name for f in fields(kind)})
+    check(not unknown, f"unknown keys: {', '.join(unknown)}")
+    return values
+
+
+def code(crs: Any) -> int:
+    """An EPSG code, as a number or as ``EPSG:number``."""
+    text = str(crs).upper().removeprefix("EPSG:")
+    check(text.isdigit(), f"{crs!r} is no EPSG code")
+    return int(text)
+
+
+def several(raw: dict, key: str) -> list:
+    values = need(raw, key)
+    check(isinstance(values, list), f"{key} must be a list")
+    return values
+
+
+def folder(raw: dict, path: str) -> tuple[str, dict]:
+    """The output folder, and what else the section ``output`` says."""
+    value = need(raw, "output")
+    section = dict(value) if isinstance(value, dict) else {"directory": value}
+    named = section.pop("directory", None) or section.pop("dir", None)
+    check(bool(named), "the configuration lacks an output folder")
+    return resolve(str(named), path), section
+
+
 @dataclass(frozen=True)
 class WeightSpec:
     name: str
@@ -66,7 +111,7 @@ class WeightSpec:
     k: int | None = None
     threshold: float | None = None
     distance_power: float = 0.0
-    symmetrization: str = "none"
+    symmetrization: str = "union"
     tolerance: float = 1e-9
 
     def __post_init__(self) -> None:
@@ -189,25 +234,61 @@ class Experiment:
 
 
 def autocorrelation(path: str) -> Autocorrelation:
+    """Sections data, analysis (weights, primary_weight and inference) and output; or weights,
+    primary and inference at the top."""
     raw = read(path)
-    return Autocorrelation(
-        input=resolve(need(raw, "data.path"), path), id_column=need(raw, "data.id_column"), value_column=need(raw, "data.value_column"), crs=int(need(raw, "data.crs")), output=resolve(need(raw, "output"), path),
-        weights=[WeightSpec(**w) for w in need(raw, "weights")], primary=need(raw, "primary"), layer=raw["data"].get("layer"), **raw.get("inference", {}), maps=raw.get("maps", True),
-    )
+    data, analysis = dict(need(raw, "data")), dict(raw.get("analysis") or {})
+    output, extra = folder(raw, path)
+    weights = [made(WeightSpec, w, f"weights[{k}]") for k, w in enumerate(several(analysis if "weights" in analysis else raw, "weights"))]
+    analysis.pop("weights", None)
+    primary = analysis.pop("primary_weight", None) or raw.get("primary") or weights[0].name
+    crs = data.get("analysis_crs") or need(raw, "data.crs")
+    values = {
+        "input": resolve(need(raw, "data.path"), path), "id_column": need(raw, "data.id_column"), "value_column": need(raw, "data.value_column"), "crs": code(crs), "output": output,
+        "weights": weights, "primary": primary, "layer": data.get("layer"), "maps": extra.get("maps", raw.get("maps", True)),
+    }
+    return made(Autocorrelation, {**values, **raw.get("inference", {}), **analysis}, "the analysis")
 
 
 def regression(path: str) -> Regression:
+    """Sections data, models, weights and output; permutations, seed and alpha at the top or in
+    inference."""
     raw = read(path)
-    return Regression(
-        input=resolve(need(raw, "data.path"), path), id_column=need(raw, "data.id_column"), output=resolve(need(raw, "output"), path), models=[ModelSpec(**m) for m in need(raw, "models")],
-        weights=[EdgeSpec(**{**w, "path": resolve(w["path"], path)}) for w in need(raw, "weights")], layer=raw["data"].get("layer"), **raw.get("inference", {}), maps=raw.get("maps", True),
-    )
+    output, extra = folder(raw, path)
+    models = []
+    for k, m in enumerate(several(raw, "models")):
+        check(isinstance(m, dict) and m.get("add_constant", True), f"models[{k}] must be a mapping and have a constant")
+        models.append(made(ModelSpec, {n: v for n, v in m.items() if n != "add_constant"}, f"models[{k}]"))
+    weights = []
+    for k, w in enumerate(several(raw, "weights")):
+        check(isinstance(w, dict) and bool(w.get("path")), f"weights[{k}] lacks a path")
+        weights.append(made(EdgeSpec, {**w, "path": resolve(w["path"], path)}, f"weights[{k}]"))
+    values = {
+        "input": resolve(need(raw, "data.path"), path), "id_column": need(raw, "data.id_column"), "output": output, "models": models, "weights": weights,
+        "layer": raw["data"].get("layer"), "maps": extra.get("maps", raw.get("maps", True)),
+    }
+    top = {k: raw[k] for k in ("permutations", "seed", "alpha") if k in raw}
+    return made(Regression, {**values, **raw.get("inference", {}), **top}, "the regression")
 
 
 def preparation(path: str) -> Preparation:
     raw = read(path)
-    values = {k: v for k, v in raw.items() if k not in ("spatial", "table", "output")}
-    return Preparation(spatial=resolve(need(raw, "spatial"), path), table=resolve(need(raw, "table"), path), output=resolve(need(raw, "output"), path), **values)
+    if "paths" in raw:
+        raw = sections(raw)
+    paths = {k: resolve(need(raw, k), path) for k in ("spatial", "table", "output")}
+    return made(Preparation, {**raw, **paths, "crs": code(need(raw, "crs"))}, "the preparation")
+
+
+def sections(raw: dict) -> dict:
+    """The configuration in sections paths, keys, crs, geometry, join, table and map as a flat one."""
+    part = lambda name: raw.get(name) or {}
+    out = {
+        "spatial": need(raw, "paths.spatial"), "table": need(raw, "paths.table"), "output": need(raw, "paths.output_dir"),
+        "spatial_key": need(raw, "keys.spatial"), "table_key": need(raw, "keys.table"), "crs": need(raw, "crs.analysis"),
+        "repair": part("geometry").get("repair_invalid"), "allow_empty": part("geometry").get("allow_empty"), "minimum_match_rate": part("join").get("minimum_match_rate"),
+        "numeric_columns": part("table").get("numeric_columns"), "map_column": part("map").get("column"), "map_method": part("map").get("scheme"), "map_classes": part("map").get("k"),
+    }
+    return {k: v for k, v in out.items() if v is not None}
 
 
 def experiment(path: str) -> Experiment:
@@ -216,4 +297,4 @@ def experiment(path: str) -> Experiment:
     if "path" in dataset:
         dataset["path"] = resolve(dataset["path"], path)
     values = {k: v for k, v in raw.items() if k not in ("dataset", "designs", "output", "models")}
-    return Experiment(dataset=dataset, output=resolve(need(raw, "output"), path), designs=[Design(**d) for d in need(raw, "designs")], models=need(raw, "models"), **values)
+    return Experiment(dataset=dataset, output=resolve(need(raw, "output"), path), designs=[made(Design, d, f"designs[{k}]") for k, d in enumerate(several(raw, "designs"))], models=need(raw, "models"), **known(Experiment, values))

@@ -212,8 +212,8 @@ def run_experiment(spark: SparkSession, config_path: str) -> dict[str, str]:
                     near = cut(wt.nearest(units, units, cfg.k, same=True))
                     for weighting in ("uniform", "inverse_distance"):
                         edges = wt.weighted_nearest(near, weighting)
-                        test_row = ac.permutation_test(units, edges, "moran", cfg.permutations, seed, center="zero", column="r").first()
-                        row |= {f"moran_i_{weighting}": test_row.value, f"moran_p_{weighting}": test_row.p_value}
+                        value, p = ac.residual_moran(units, edges, cfg.permutations, seed, "r")
+                        row |= {f"moran_i_{weighting}": value, f"moran_p_{weighting}": p}
                     metrics.append(row)
                     lisa = ac.local_moran_unconditional(units, wt.weighted_nearest(near), cfg.permutations, seed, cfg.alpha, "r").join(units.select("i", "row_id", "r"), "i")
                     tag = [F.lit(v).alias(n) for n, v in key.items()]

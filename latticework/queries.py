@@ -337,9 +337,9 @@ LOCAL = f"""{_base()}, m2 as (select ss / n as m2 from k),
     l as (select z.i, z.x as value, z.z, coalesce(sum(e.weight * b.z), 0) as spatial_lag_z, count(e.j) as neighbors from z left join e on e.i = z.i left join z b on b.i = e.j group by z.i, z.x, z.z),
     o as (select l.*, round(z * spatial_lag_z / m2, 10) as local_moran from l, m2),
     pr as (select unnest(range(1, {PERMUTATIONS} + 1)) as p),
-    rk0 as (select a.i, pr.p, b.z as v, row_number() over (partition by a.i, pr.p order by md5('{SEED}:' || pr.p::varchar || ':' || a.i::varchar || ':' || b.i::varchar)) as slot from u a, pr, z b where a.i <> b.i),
+    pm as (select pr.p, z.i as o, z.z as v, row_number() over (partition by pr.p order by md5('{SEED}:' || pr.p::varchar || ':' || z.i::varchar)) - 1 as pos from z, pr),
     sl as (select i, weight, row_number() over (partition by i order by j) as slot from e),
-    sm as (select sl.i, rk0.p, sum(weight * v) as slag from sl join rk0 on rk0.i = sl.i and rk0.slot = sl.slot group by sl.i, rk0.p),
+    sm as (select sl.i, me.p, sum(sl.weight * b.v) as slag from sl join pm me on me.o = sl.i join pm b on b.p = me.p and b.pos = (me.pos + sl.slot) % (select count(*) from z) group by sl.i, me.p),
     si as (select sm.i, round(z.z * slag / m2, 10) as sim from sm join z on z.i = sm.i, m2),
     md as (select i, round(avg(sim), 10) as mid from si group by i),
     pv as (select si.i, (count(*) filter (round(abs(sim - mid), 10) >= round(abs(local_moran - mid), 10)) + 1) / {PERMUTATIONS + 1}.0::double as p_value from si join md on md.i = si.i join o on o.i = si.i group by si.i),

@@ -40,10 +40,10 @@ def test_line_statistics(line):
     assert p == ac.permutation_test(units.repartition(7), edges, "moran", 19).first()
 
 
-def test_many_units_path_of_conditional_draws(line):
+def test_conditional_draws(line):
     units, edges = line
     centred = ac.checked(units, edges)
-    sims = ac.conditional_values(centred, edges, 50, 1, small=0).collect()
+    sims = ac.conditional_values(centred, edges, 50, 1).collect()
     assert len(sims) == 200
     values = {r.i: r.z for r in centred.collect()}
     ends = {round(r.slag, 9) for r in sims if r.i == 0}  # one neighbour: any value but the unit's own
