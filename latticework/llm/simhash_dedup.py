@@ -59,6 +59,8 @@ NEAR = (4, 5)
 SKETCH_FROM, SKETCH_BITS = 32, 46
 SAMPLE_ROWS, COMMON, COMMON_MOST = 8_000, 4, 100_000
 RUN_SHINGLES = 1 << 22
+# Links of up to so many rows are broadcast to find their texts, more are joined by exchange.
+BROADCAST_ROWS = 200_000
 
 
 def simhash(text: bytes, width: int, seeds: tuple[int, ...] = (SEED,), block: int = 1 << 17) -> list[int]:
@@ -516,26 +518,27 @@ def _set_blocks(entries: DataFrame, sizes: DataFrame) -> DataFrame:
     return mine.select(key.alias("key"), half.alias("half"), *[c for c in entries.columns if c != "key"])
 
 
-def jaccard_links(base: DataFrame, fps: DataFrame, width: int, bucket_rows: int = BUCKET_ROWS, run_shingles: int = RUN_SHINGLES, made: list[DataFrame] | None = None) -> DataFrame:
-    """Links ``(a, b)`` spanning the sets ``id`` of ``fps`` joined by steps of Jaccard 0.8 or more.
+def jaccard_links(base: DataFrame, sets: DataFrame, width: int, bucket_rows: int = BUCKET_ROWS, run_shingles: int = RUN_SHINGLES, made: list[DataFrame] | None = None) -> DataFrame:
+    """Links ``(a, b)`` spanning ``sets``, one row per ``id``, joined by steps of Jaccard 0.8 or more.
 
     Sets meet in the buckets of their prefixes' shingles.  What sizes and sketches leave of
     these pairs joins sets to groups, and inside a group every step is confirmed by the texts.
     Tables that the result reads are added to ``made``."""
     spark = base.sparkSession
     parts = shuffle_partitions(spark)
-    nodes = cut(fps.dropDuplicates(["id"]), "sets")
-    entries = nodes.select(F.explode("prefix").alias("key"), "id", "n", "fp", "fp2")
+    entries = sets.select(F.explode("prefix").alias("key"), "id", "n", "fp", "fp2")
     hot = cut(entries.groupBy("key").count().where(F.col("count") > bucket_rows).select("key", F.ceil(2 * F.col("count") / bucket_rows).cast("int").alias("blocks")), "hot")
     entries = entries.withColumn("half", F.lit(-1)) if hot.isEmpty() else _set_blocks(entries, hot)
     runs = entries.repartition(parts, "key").sortWithinPartitions("key", "fp").select("key", "half", "id", "n", "fp", "fp2")
     groups = components(arrow(runs, _set_links(None), "a long, b long"))
     if made is not None:
-        made += [nodes, groups]
+        made += [groups]
     members = groups.select(F.col("node").alias("id"), F.col("root").alias("key")).union(groups.select("root", "root").distinct()).distinct()
-    members = nodes.drop("prefix").join(members, "id")
+    members = sets.drop("prefix").join(members, "id")
     sizes = members.groupBy("key").agg(F.sum("n").alias("s")).where(F.col("s") > run_shingles).select("key", F.ceil(2 * F.col("s") / run_shingles).cast("int").alias("blocks"))
     members = members.withColumnRenamed("doc_id", "_d").withColumnRenamed("xh", "_h")
+    if groups.count() <= BROADCAST_ROWS:
+        members = F.broadcast(members)
     texts = base.join(members, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("xh") == F.col("_h"))).select("key", "id", "n", "fp", "fp2", "text")
     runs = _set_blocks(texts, sizes).repartition(parts, "key").sortWithinPartitions("key", "fp").select("key", "half", "id", "n", "fp", "fp2", "text")
     return arrow(runs, _set_links(width), "a long, b long")
@@ -553,9 +556,11 @@ def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:
     text = F.coalesce(text, F.lit(""))
     base = inner.select(doc_id.cast("long").alias("doc_id"), row_key(inner).alias("xh"), text.alias("text"))
     fps = cut(arrow(base, _set_batches(width, _common(base, width)), SET_SCHEMA), "fps")
-    made: list[DataFrame] = [fps]
-    links = components(jaccard_links(base, fps, width, made=made))
-    firsts = fps.groupBy("id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "xh")).alias("first"))
+    ids, sets = cut(fps.select("doc_id", "xh", "id"), "ids"), cut(fps.dropDuplicates(["id"]), "sets")
+    drop(fps)
+    made: list[DataFrame] = [ids, sets]
+    links = components(jaccard_links(base, sets, width, made=made))
+    firsts = ids.groupBy("id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "xh")).alias("first"))
     rooted = firsts.join(links, firsts.id == links.node, "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("first").alias("first"))
     kept = cut(rooted.select(F.col("first.doc_id").alias("doc_id"), F.col("first.xh").alias("key")), "kept")
     drop(links, *made)
