@@ -454,6 +454,33 @@ def ols_inference(spark, d):
     return lm.coefficients(lm.fit(points(spark, d), "target", ["c1", "c2", "x", "y"], "full", "HC1"))
 
 
+KINDS = {"HC0": "1", "HC1": "n / (n - 2)", "HC2": "1 / (1 - leverage)", "HC3": "1 / ((1 - leverage) * (1 - leverage))"}
+ROBUST_SUMS = " union all ".join(
+    f"select '{kind}' as robust_covariance, '{term}' as term, sqrt(sum({share} * {share} * residual * residual * {factor})) as se from w"
+    for kind, factor in KINDS.items()
+    for term, share in (("const", "(1 / n - mx * (c1 - mx) / (n * sxx))"), ("c1", "((c1 - mx) / (n * sxx))"))
+)
+
+
+@query(f"with {REG}, s as ({ROBUST_SUMS}) select robust_covariance, term, {r('se', 'robust_std_error')} from s")
+def ols_robust_errors(spark, d):
+    p, out = points(spark, d).cache(), None
+    for kind in KINDS:
+        rows = lm.coefficients(lm.fit(p, "target", ["c1"], "simple", kind)).select("robust_covariance", "term", r6("robust_std_error"))
+        out = rows if out is None else out.union(rows)
+    return out
+
+
+@query(
+    f"""with {REG}, c as (select corr(residual * residual, c1) as a, corr(residual * residual, c1 * c1) as b, corr(c1, c1 * c1) as m, any_value(n) as n from w),
+    q as (select n, (a * a + b * b - 2 * a * b * m) / (1 - m * m) as r2 from c)
+    select {r('n * r2', 'white_lm')}, {r('exp(-n * r2 / 2)', 'white_lm_p')}, {r('r2 / 2 / ((1 - r2) / (n - 3))', 'white_f')}, {r('pow(1 - r2, (n - 3) / 2)', 'white_f_p')} from q"""
+)
+def ols_white(spark, d):
+    told = lm.white(simple(spark, d))  # both p-values have closed forms at two degrees of freedom
+    return spark.createDataFrame([{k: float(v) for k, v in told.items()}]).select(*[r6(c) for c in told])
+
+
 @query(f"with {P}, v as (select 1 / (1 - corr(c1, c2) * corr(c1, c2)) as v from pt) select 'c1' as term, {r('v', 'vif')} from v union all select 'c2', {r('v', 'vif')} from v")
 def ols_vif(spark, d):
     return lm.vif(lm.fit(points(spark, d), "target", ["c1", "c2"])).select("term", r6("vif"))
@@ -542,7 +569,13 @@ def buffer_filter(spark, d):
     return va.buffered(p.where("grp <> 0"), p.where("grp = 0"), 0.05).select("i")
 
 
-@query()
+@query(
+    f"""with recursive {GRID}, o as (select g, count(*) as n, row_number() over (order by count(*) desc, g) as rk from gr group by g),
+    st as (select 0::bigint as rk, [0, 0, 0, 0, 0]::bigint[] as loads, -1 as fold
+        union all select o.rk, [loads[k] + case when k = list_position(loads, list_min(loads)) then o.n else 0 end for k in [1, 2, 3, 4, 5]], list_position(loads, list_min(loads)) - 1
+        from st join o on o.rk = st.rk + 1)
+    select fold::int as fold, sum(n)::bigint as rows, count(*) as groups from st join o using (rk) group by fold"""
+)
 def group_kfold(spark, d):
     groups = va.grid_groups(points(spark, d), 4, 4)
     return groups.join(va.group_folds(groups, 5), "grp").groupBy("fold").agg(F.count("*").alias("rows"), F.count_distinct("grp").alias("groups"))
