@@ -139,15 +139,21 @@ def residual_moran(units: DataFrame, edges: DataFrame, permutations: int = 99, s
 def benjamini_hochberg(df: DataFrame, p: str = "p_value", order: str = "i", out: str = "q_value") -> DataFrame:
     """Adds q-values: the reverse running minimum of ``p * n / rank``, clipped to [0, 1].
 
-    Ranks come from equal p-values' counts: one small row per distinct p, which permutation
-    inference bounds by the number of permutations; no window spans all units."""
-    counts = df.groupBy(p).agg(F.count("*").alias("_c"))
-    total = counts.agg(F.sum("_c").alias("_n"))
-    upto = F.sum("_c").over(Window.orderBy(p))
-    ranked = counts.join(F.broadcast(total)).withColumn("_r", upto).withColumn("_a", F.col(p) * F.col("_n") / F.col("_r"))
+    Ranks and minima run over the distinct p-values, inside ranges of them; what the ranges
+    before and after one contribute is a row for each range."""
+    counts = df.groupBy(p).agg(F.count("*").alias("_c")).repartitionByRange(p)
+    ranges = cut(counts.withColumn("_b", F.spark_partition_id()))
+    sums = ranges.groupBy("_b").agg(F.sum("_c").alias("_s"))
+    upto = F.sum("_s").over(Window.orderBy("_b")) - F.col("_s")
+    sums = sums.select("_b", upto.alias("_before"), F.sum("_s").over(Window.partitionBy()).alias("_n"))
+    rank = F.col("_before") + F.sum("_c").over(Window.partitionBy("_b").orderBy(p))
+    ranked = ranges.join(F.broadcast(sums), "_b").withColumn("_a", F.col(p) * F.col("_n") / rank)
     # Of equal p-values the last rank has the least adjusted value, so one value serves them all.
-    low = F.min("_a").over(Window.orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, 0))
-    q = ranked.select(p, F.greatest(F.lit(0.0), F.least(F.lit(1.0), low)).alias(out))
+    low = F.min("_a").over(Window.partitionBy("_b").orderBy(F.desc(p)))
+    later = F.min("_m").over(Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1))
+    after = ranked.groupBy("_b").agg(F.min("_a").alias("_m")).select("_b", later.alias("_later"))
+    told = ranked.withColumn("_low", low).join(F.broadcast(after), "_b")
+    q = told.select(p, F.greatest(F.lit(0.0), F.least(F.lit(1.0), "_low", "_later")).alias(out))
     return df.join(q, p)
 
 
