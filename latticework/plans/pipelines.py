@@ -229,6 +229,7 @@ def run_experiment(spark: SparkSession, config_path: str) -> dict[str, str]:
     columns = ["rmse", "mae", "r2", "interval_coverage", "interval_width", "moran_i_uniform", "moran_i_inverse_distance"]
     files["optimism"] = wr.write_csv(va.optimism(table), f"{out}/optimism.csv")
     files["summary"] = wr.write_csv(va.summary(table, columns), f"{out}/summary.csv")
+    files |= _figures(table, predictions, local, out)
     told = {r.model: r.asDict() for r in va.gates(table, local, cfg.coverage, next(iter(cfg.models))).collect()}
     files["gates"] = wr.write_json(told, f"{out}/gates.json")
     shutil.copy(config_path, f"{out}/config.yml")
@@ -236,6 +237,23 @@ def run_experiment(spark: SparkSession, config_path: str) -> dict[str, str]:
     return files
 
 
+def _figures(table: DataFrame, predictions: DataFrame, local: DataFrame, out: str) -> dict[str, str]:
+    """Bars of the median errors; maps of residuals and their clusters by design and model."""
+    medians = table.groupBy("validation", "model").agg(F.percentile("rmse", 0.5).alias("rmse")).orderBy("validation", "model").collect()
+    files = {"figure_rmse": wr.write_svg_bars([(r.validation, r.model, r.rmse) for r in medians], f"{out}/rmse.svg", "Median RMSE")}
+    for r in medians:
+        mine = (F.col("validation") == r.validation) & (F.col("model") == r.model)
+        rows = predictions.where(mine).select("repetition", "fold", "row_id", F.col("longitude").alias("x"), F.col("latitude").alias("y"), "residual")
+        most = rows.agg(F.max(F.abs("residual"))).first()[0] or 0.0
+        maps = {"residuals": rows.select("x", "y", F.col("residual").alias("class"), wr.signed_colours("residual", most).alias("colour"))}
+        clusters = local.where(mine).select("repetition", "fold", "row_id", "cluster").join(rows.drop("residual"), ["repetition", "fold", "row_id"])
+        known = F.create_map(*[F.lit(x) for pair in wr.COLOURS.items() for x in pair])
+        maps["lisa"] = clusters.select("x", "y", F.col("cluster").alias("class"), F.coalesce(F.element_at(known, F.col("cluster")), F.lit(wr.MISSING)).alias("colour"))
+        for kind, points in maps.items():
+            files[f"figure_{kind}_{r.validation}_{r.model}"] = wr.write_svg_points(points, f"{out}/{kind}_{r.validation}_{r.model}.svg", f"{kind} {r.validation} {r.model}")
+    return files
+
+
 def merge_runs(spark: SparkSession, folders: list[str], output: str) -> dict[str, str]:
     """Rows of several experiment folders put together, with optimism and summary made anew."""
     out = _folder(output)

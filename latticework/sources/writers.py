@@ -11,7 +11,7 @@ from datetime import UTC, datetime
 from pathlib import Path
 
 import pyspark
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 COLOURS = {"HH": "#d7191c", "LL": "#2c7bb6", "HL": "#fdae61", "LH": "#abd9e9", "NS": "#d9d9d9", "Island": "#969696", "Hot": "#d7191c", "Cold": "#2c7bb6"}
@@ -99,6 +99,40 @@ def write_svg_map(layer: DataFrame, path: str, title: str, size: int = 800) -> s
     return path
 
 
+def write_svg_points(points: DataFrame, path: str, title: str, size: int = 800) -> str:
+    """An SVG of ``points(x, y, class, colour)``; points stream through the driver."""
+    x0, y0, x1, y1 = (float(v or 0) for v in points.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first())
+    scale = (size - 20) / max(x1 - x0, y1 - y0, 1e-12)
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(f'<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 -30 {size} {size + 30}"><text x="4" y="-8" font-size="18">{_escaped(title)}</text>\n')
+        for r in points.toLocalIterator():
+            if r.x is not None and r.y is not None:
+                f.write(f'<circle cx="{10 + (r.x - x0) * scale:.2f}" cy="{10 + (y1 - r.y) * scale:.2f}" r="4" fill="{r.colour}" stroke="#333" stroke-width="0.4"><title>{_escaped(str(r["class"]))}</title></circle>\n')
+        f.write("</svg>\n")
+    return path
+
+
+def signed_colours(column: str, most: float) -> Column:
+    """Colours of a diverging ramp from ``-most`` to ``most``."""
+    share = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col(column) / F.lit(most or 1.0)))
+    faded = F.lower(F.lpad(F.hex((F.lit(230) * (1 - F.abs(share))).cast("long")), 2, "0"))
+    return F.when(F.col(column).isNull(), MISSING).when(share < 0, F.concat(F.lit("#"), faded, faded, F.lit("e6"))).otherwise(F.concat(F.lit("#e6"), faded, faded))
+
+
+def write_svg_bars(rows: list[tuple[str, str, float]], path: str, title: str, width: int = 800) -> str:
+    """An SVG of bars ``(group, label, value)``, one below the other."""
+    most = max((v for _, _, v in rows), default=0.0) or 1.0
+    out = [f'<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 {width} {40 + 24 * len(rows)}"><text x="4" y="20" font-size="18">{_escaped(title)}</text>']
+    groups = sorted({g for g, _, _ in rows})
+    for k, (group, label, value) in enumerate(rows):
+        y, colour = 34 + 24 * k, RAMP[round(groups.index(group) * (len(RAMP) - 1) / max(1, len(groups) - 1))]
+        out.append(f'<text x="4" y="{y + 14}" font-size="13">{_escaped(f"{group} {label}")}</text><rect x="240" y="{y}" width="{(width - 330) * value / most:.1f}" height="18" fill="{colour}"/>')
+        out.append(f'<text x="{246 + (width - 330) * value / most:.1f}" y="{y + 14}" font-size="13">{value:.4f}</text>')
+    with open(path, "w", encoding="utf-8") as f:
+        f.write("\n".join([*out, "</svg>\n"]))
+    return path
+
+
 def _escaped(text: str) -> str:
     return text.replace("&", "&amp;").replace("<", "&lt;")
 
