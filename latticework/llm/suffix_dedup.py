@@ -44,10 +44,11 @@ from .common import arrow, cut, picked, shuffle_partitions, skew_join
 WINDOW, GRAM = 200, 128
 BASE = 0x9E3779B97F4A7C15
 SEED = 20240229
-BLOCK = 1 << 21
+# Texts are hashed in blocks whose arrays fit a core's cache; what blocks give is sent together.
+BLOCK, SEND = 1 << 17, 1 << 21
 SEGMENT = 1 << 23
 GROUP_PIECES = 2_000
-BATCH_SYMBOLS = 60_000
+BATCH_SYMBOLS = 8_000
 PIECE_SCHEMA = "uid long, at long, n int, off int, h long, ph long"
 SLICE_SCHEMA = "uid long, h long, at long, n int, off int, pieces long, raw binary"
 RANGE_SCHEMA = "uid long, a long, b long"
@@ -79,15 +80,13 @@ def gram_hashes(codes: np.ndarray) -> np.ndarray:
     return out[: len(codes) - GRAM + 1]
 
 
-def pieces(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+def _minimiser_runs(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray):
     """Windows of texts laid end to end, in runs that share a minimiser.
 
-    Returns arrays: text index, first window start inside the text, number of windows, offset
-    of the minimiser from that start, its hash, and the hash of the run's bytes."""
-    n = len(data)
-    if n < WINDOW:
+    Returns arrays: text index, first window start, number of windows, start of the minimiser,
+    its hash.  Starts are in ``codes``."""
+    if len(codes) < WINDOW:
         return None
-    codes = CODES[data]
     grams = gram_hashes(codes)
     low = (grams & np.uint64(0xFFFFFFFFFF000000)) | np.arange(len(grams), dtype=np.uint64)
     slide, step = WINDOW - GRAM + 1, 1
@@ -109,7 +108,19 @@ def pieces(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
     change = np.flatnonzero((anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])) + 1
     head = np.concatenate(([0], change))
     count = np.diff(np.concatenate((head, [len(text)])))
-    begin = at[head]
+    return text[head], at[head], count, anchor[head], grams[anchor[head]].view(np.int64)
+
+
+def pieces(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+    """Windows of texts laid end to end, in runs that share a minimiser.
+
+    Returns arrays: text index, first window start inside the text, number of windows, offset
+    of the minimiser from that start, its hash, and the hash of the run's bytes."""
+    n, codes = len(data), CODES[data]
+    found = _minimiser_runs(codes, starts, ends)
+    if found is None:
+        return None
+    text, begin, count, anchor, h = found
     powers = np.full(n, BASE, np.uint64)
     powers[0] = 1
     np.multiply.accumulate(powers, out=powers)
@@ -119,7 +130,7 @@ def pieces(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
     np.multiply.accumulate(inverse, out=inverse)
     end = begin + count - 1 + WINDOW
     whole = (sums[end] - sums[begin]) * inverse[begin]
-    return text[head], begin - starts[text[head]], count, anchor[head] - begin, grams[anchor[head]].view(np.int64), whole.view(np.int64)
+    return text, begin - starts[text], count, anchor - begin, h, whole.view(np.int64)
 
 
 def suffix_array(text: list[int]) -> list[int]:
@@ -275,36 +286,68 @@ def runs(values: list[int]) -> list[tuple[int, int]]:
     return out
 
 
-def _piece_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["uid", "at", "n", "off", "h", "ph"]
+def _text_blocks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Texts of a window or more in blocks: ids, shifts, and the bytes with the texts' starts and ends."""
 
-    def found(uids: list[int], shifts: list[int], texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+    def block(uids: list[int], shifts: list[int], texts: list[bytes]):
         lens = np.array([len(t) for t in texts], np.int64)
         ends = np.cumsum(lens)
-        got = pieces(np.frombuffer(b"".join(texts), np.uint8), ends - lens, ends)
-        if got is not None:
-            text, at, n, off, h, ph = got
-            columns = [np.array(uids, np.int64)[text], at + np.array(shifts, np.int64)[text], n.astype(np.int32), off.astype(np.int32), h, ph]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+        return np.array(uids, np.int64), np.array(shifts, np.int64), np.frombuffer(b"".join(texts), np.uint8), ends - lens, ends
+
+    uids, shifts, texts, held = [], [], [], 0
+    for uid, text in zip(batch.column("uid").to_pylist(), batch.column("text"), strict=True):
+        raw = text.as_py().encode()
+        # A segment's windows may not reach into the next one's, so it keeps a window's tail.
+        for at in range(0, max(1, len(raw)), SEGMENT):
+            part = raw[at : at + SEGMENT + WINDOW - 1]
+            if len(part) < WINDOW:
+                continue
+            uids.append(uid)
+            shifts.append(at)
+            texts.append(part)
+            held += len(part)
+            if held >= BLOCK:
+                yield block(uids, shifts, texts)
+                uids, shifts, texts, held = [], [], [], 0
+    if texts:
+        yield block(uids, shifts, texts)
+
+
+def _block_batches(names: list[str], columns_of):
+    """Arrow batches of ``columns_of(uids, shifts, data, starts, ends)``, those of many blocks together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, size = [], 0
+            for block in _text_blocks(batch):
+                columns = columns_of(*block)
+                if columns is not None:
+                    held.append(columns)
+                size += len(block[2])
+                if held and size >= SEND:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=names)
+                    held, size = [], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=names)
+
+    return run
+
+
+def _piece_columns(uids: np.ndarray, shifts: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+    got = pieces(data, starts, ends)
+    if got is None:
+        return None
+    text, at, n, off, h, ph = got
+    return uids[text], at + shifts[text], n.astype(np.int32), off.astype(np.int32), h, ph
 
-    for batch in batches:
-        uids, shifts, texts, held = [], [], [], 0
-        for uid, text in zip(batch.column("uid").to_pylist(), batch.column("text"), strict=True):
-            raw = text.as_py().encode()
-            # A segment's windows may not reach into the next one's, so it keeps a window's tail.
-            for at in range(0, max(1, len(raw)), SEGMENT):
-                part = raw[at : at + SEGMENT + WINDOW - 1]
-                if len(part) < WINDOW:
-                    continue
-                uids.append(uid)
-                shifts.append(at)
-                texts.append(part)
-                held += len(part)
-                if held >= BLOCK:
-                    yield from found(uids, shifts, texts)
-                    uids, shifts, texts, held = [], [], [], 0
-        if texts:
-            yield from found(uids, shifts, texts)
+
+def _minimiser_columns(uids: np.ndarray, shifts: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+    got = _minimiser_runs(CODES[data], starts, ends)
+    return None if got is None else (got[4],)
+
+
+_piece_batches = _block_batches(["uid", "at", "n", "off", "h", "ph"], _piece_columns)
+_minimiser_batches = _block_batches(["h"], _minimiser_columns)
 
 
 def _mark_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -392,10 +435,12 @@ def _crowded(slices: DataFrame) -> DataFrame:
 def repeated_ranges(docs: DataFrame, group_pieces: int = GROUP_PIECES) -> tuple[DataFrame, DataFrame]:
     """Ranges ``(uid, a, b)`` of repeated windows of ``docs(uid, text, n_bytes)``, and the texts
     ``(uid, text)`` of the documents that have some, but for those made of copied pieces only."""
-    found = arrow(docs.where(F.col("n_bytes") >= WINDOW).select("uid", "text"), _piece_batches, PIECE_SCHEMA)
+    long = docs.where(F.col("n_bytes") >= WINDOW).select("uid", "text")
+    found = arrow(long, _piece_batches, PIECE_SCHEMA)
     # A piece's two small numbers share a column: rows are many, so their width counts.
     found = found.select("uid", "at", (F.col("n") * 1024 + F.col("off")).alias("shape"), "h", "ph")
-    twice = found.groupBy("h").count().where("count > 1").select("h")
+    # To count the pieces of a minimiser takes its hash alone, neither places nor piece hashes.
+    twice = arrow(long, _minimiser_batches, "h long").groupBy("h").count().where("count > 1").select("h")
     cand = cut(skew_join(found, twice, ["h"]), "cand")
     distinct = cand.groupBy("h", "ph", "shape").agg(F.count("*").alias("m"), F.min(F.struct("uid", "at")).alias("rep"))
     distinct = cut(distinct, "distinct")

@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 from math import exp, log, log1p
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from test_llm import brute_removed
 
@@ -120,3 +121,18 @@ def test_passages_of_all_lengths(spark, pieces):
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.suffix_dedup(frame, pieces).collect()}
     assert [got[k] for k in range(len(texts))] == brute_removed(texts)
+
+
+def test_minimisers_are_counted_without_pieces(monkeypatch):
+    """The counting pass forms no piece hashes; blocks stay small and do not change what is found."""
+    rng = np.random.default_rng(12)
+    texts = ["".join(rng.choice(list("abcd "), int(n))) for n in rng.integers(0, 1200, 900)] + ["long " * 40_000]
+    batch = pa.RecordBatch.from_pydict({"uid": list(range(len(texts))), "text": texts})
+    blocks = list(suffix_dedup._text_blocks(batch))
+    assert max(len(b[2]) - (b[4] - b[3]).max() for b in blocks) < 1 << 17 and len(blocks) > 3
+    rows = lambda run: sorted(tuple(r.values()) for b in run(iter([batch])) for r in b.to_pylist())
+    found = rows(suffix_dedup._piece_batches)
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 1 << 21)
+    assert rows(suffix_dedup._piece_batches) == found
+    monkeypatch.setattr(suffix_dedup, "pieces", None)
+    assert rows(suffix_dedup._minimiser_batches) == sorted((r[4],) for r in found)
