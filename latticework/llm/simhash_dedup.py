@@ -21,9 +21,11 @@ With ``wide``, links are confirmed by a second fingerprint of 64 bits: both toge
 differ in at most ``wide`` bits.
 
 The pipeline's near-dedup stage (``keep_one``) links texts whose sets of shingles have a Jaccard
-similarity of 0.8 or more.  Bits alone lose such pairs and link others, so sets meet by prefix
-filtering, which loses none; sizes and 128 SimHash bits sort out most other pairs (sets of up to
-``SKETCH_FROM`` shingles are never judged by bits); every link is confirmed on the shingles.
+similarity of 0.8 or more.  The fingerprints of the sets are grouped as above, by the same code
+and ``tau``.  Such pairs may differ in more than ``tau`` bits, so sets of different groups also
+meet by prefix filtering, which loses none; sizes and 128 SimHash bits sort out most other pairs
+(sets of up to ``SKETCH_FROM`` shingles are never judged by bits).  Pairs of one group are not
+looked at again there.  Bits alone link other texts too, so every link is confirmed on the shingles.
 
 Defined results: a null text counts as empty; texts without words have fingerprint zero and
 are linked like any other (in the stage with each other only); rows with a null id take part and carry null; other columns play
@@ -339,6 +341,11 @@ def near_links(nodes: DataFrame, tau: int = TAU, wide: int | None = None, bucket
     return links
 
 
+def fingerprint_groups(nodes: DataFrame, tau: int = TAU) -> DataFrame:
+    """Components ``(node, root)`` of the distinct ``nodes(fp, fp2)`` under steps of ``tau`` bits; :func:`drop` takes them."""
+    return components(near_links(nodes.select("fp", "fp2"), tau))
+
+
 def simhash_dedup(docs: DataFrame, width: int = 3, tau: int = TAU) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, uid, fingerprint, component_id, kept.
 
@@ -348,7 +355,7 @@ def simhash_dedup(docs: DataFrame, width: int = 3, tau: int = TAU) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("xh"), F.monotonically_increasing_id().alias("uid"))
     fps = cut(arrow(base, _simhash_batches(width, (SEED,)), FP_SCHEMA), "fps")
     nodes = cut(fps.groupBy("fp").agg(F.min("fp2").alias("fp2"), F.min("doc_id").alias("low"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("first")), "nodes")
-    links = components(near_links(nodes.select("fp", "fp2"), tau))
+    links = fingerprint_groups(nodes, tau)
     rooted = nodes.join(links, nodes.fp == links.node, "left").select("fp", "low", "first", F.coalesce("root", "fp").alias("root"))
     roots = rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.min("first").alias("first"))
     classes = skew_join(rooted.select("fp", "root"), roots, ["root"])
@@ -441,12 +448,18 @@ def _possible(n: np.ndarray, fp: np.ndarray, fp2: np.ndarray, a: np.ndarray, b:
     return (NEAR[1] * low >= NEAR[0] * high) & ((high <= SKETCH_FROM) | (bits <= SKETCH_BITS))
 
 
-def _set_runs(run: np.ndarray, half: np.ndarray, n: np.ndarray, fp: np.ndarray, fp2: np.ndarray, sets: list[np.ndarray] | None = None) -> np.ndarray:
+def _set_runs(run: np.ndarray, half: np.ndarray, n: np.ndarray, fp: np.ndarray, fp2: np.ndarray, sets: list[np.ndarray] | None = None, group: np.ndarray | None = None) -> np.ndarray:
     """Classes of the entries with equal (sorted) ``run``, each named by its first entry.  With
-    ``sets`` every step is confirmed by them; else a step is a pair that is possible."""
+    ``sets`` every step is confirmed by them; else a step is a pair that is possible.  Entries of
+    one ``group`` are one class from the start."""
     label, at, d = np.arange(len(run)), np.arange(len(run)), 0
     starts = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
     number = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(run))))
+    if group is not None and len(run):
+        order = np.lexsort((group, number))
+        heads = np.flatnonzero(np.concatenate(([True], (number[order][1:] != number[order][:-1]) | (group[order][1:] != group[order][:-1]))))
+        label[order] = np.repeat(order[heads], np.diff(np.append(heads, len(run))))
+        at = at[np.minimum.reduceat(label, starts)[number] != np.maximum.reduceat(label, starts)[number]]
     while len(at):
         d += 1
         at = at[at + d < len(run)]
@@ -470,20 +483,21 @@ def _set_runs(run: np.ndarray, half: np.ndarray, n: np.ndarray, fp: np.ndarray,
 
 
 def _set_links(width: int | None):
-    """Links inside runs of equal keys; with ``width`` by the texts' shingles, which are formed here."""
+    """Links inside runs of equal keys; with ``width`` by the texts' shingles, which are formed here,
+    else between the groups of fingerprints that ``id`` then names."""
 
     def links(rows: pa.Table) -> pa.RecordBatch:
         key, half, n, ids = (rows.column(c).to_numpy() for c in ("key", "half", "n", "id"))
         fp, fp2 = (rows.column(c).to_numpy().view(np.uint64) for c in ("fp", "fp2"))
         if width is None:
-            label = _set_runs(key, half, n, fp, fp2)
+            label = _set_runs(key, half, n, fp, fp2, group=ids)
         else:
             label = np.zeros(0, np.int64)
             starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))).tolist()
             for a, b in zip(starts, [*starts[1:], len(key)], strict=True):
                 sets = [shingles(t.as_py().encode(), width) for t in rows.column("text").slice(a, b - a)]
                 label = np.append(label, a + _set_runs(key[a:b], half[a:b], n[a:b], fp[a:b], fp2[a:b], sets))
-        child = np.flatnonzero(label != np.arange(len(label)))
+        child = np.flatnonzero(ids[label] != ids)
         return pa.RecordBatch.from_arrays([pa.array(ids[child]), pa.array(ids[label[child]])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -518,28 +532,44 @@ def _set_blocks(entries: DataFrame, sizes: DataFrame) -> DataFrame:
     return mine.select(key.alias("key"), half.alias("half"), *[c for c in entries.columns if c != "key"])
 
 
+def _grouped(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``sets`` with ``grp``, the smallest id of the sets whose fingerprints are joined to theirs by
+    steps of ``TAU`` bits, and ``many``: whether the group has several sets.  Also the table that it reads."""
+    prints = cut(sets.groupBy("fp").agg(F.min("fp2").alias("fp2"), F.min("id").alias("id"), F.count("*").alias("sets")), "prints")
+    links = fingerprint_groups(prints)
+    rooted = prints.join(links, prints.fp == links.node, "left").select("fp", "id", "sets", F.coalesce("root", "fp").alias("root"))
+    firsts = rooted.groupBy("root").agg(F.min("id").alias("grp"), F.sum("sets").alias("sets")).where("sets > 1").select("root", "grp")
+    groups = cut(skew_join(rooted.select("fp", "root"), firsts, ["root"]).select("fp", "grp"), "groups")
+    drop(links, prints)
+    told = skew_join(sets, groups, ["fp"], "left").withColumn("many", F.col("grp").isNotNull())
+    return told.withColumn("grp", F.coalesce("grp", "id")), groups
+
+
 def jaccard_links(base: DataFrame, sets: DataFrame, width: int, bucket_rows: int = BUCKET_ROWS, run_shingles: int = RUN_SHINGLES, made: list[DataFrame] | None = None) -> DataFrame:
     """Links ``(a, b)`` spanning ``sets``, one row per ``id``, joined by steps of Jaccard 0.8 or more.
 
-    Sets meet in the buckets of their prefixes' shingles.  What sizes and sketches leave of
-    these pairs joins sets to groups, and inside a group every step is confirmed by the texts.
+    Sets within ``TAU`` bits are grouped by their fingerprints; sets of different groups meet in
+    the buckets of their prefixes' shingles.  What sizes and sketches leave of these pairs joins
+    groups, and inside a joined one every step is confirmed by the texts.
     Tables that the result reads are added to ``made``."""
     spark = base.sparkSession
     parts = shuffle_partitions(spark)
-    entries = sets.select(F.explode("prefix").alias("key"), "id", "n", "fp", "fp2")
-    hot = cut(entries.groupBy("key").count().where(F.col("count") > bucket_rows).select("key", F.ceil(2 * F.col("count") / bucket_rows).cast("int").alias("blocks")), "hot")
+    grouped, groups = _grouped(sets)
+    entries = grouped.select(F.explode("prefix").alias("key"), "id", "grp", "n", "fp", "fp2")
+    hot = sets.select(F.explode("prefix").alias("key")).groupBy("key").count().where(F.col("count") > bucket_rows)
+    hot = cut(hot.select("key", F.ceil(2 * F.col("count") / bucket_rows).cast("int").alias("blocks")), "hot")
     entries = entries.withColumn("half", F.lit(-1)) if hot.isEmpty() else _set_blocks(entries, hot)
-    runs = entries.repartition(parts, "key").sortWithinPartitions("key", "fp").select("key", "half", "id", "n", "fp", "fp2")
-    groups = components(arrow(runs, _set_links(None), "a long, b long"))
+    entries = entries.select("key", "half", F.col("grp").alias("id"), "n", "fp", "fp2")
+    joined = components(arrow(entries.repartition(parts, "key").sortWithinPartitions("key", "fp"), _set_links(None), "a long, b long"))
+    roots = joined.select(F.col("node").alias("grp"), "root").union(joined.select("root", "root").distinct()).distinct()
+    members = skew_join(grouped.drop("prefix"), roots, ["grp"], "left").where("many or root is not null")
+    members = cut(members.select("id", "n", "fp", "fp2", F.col("doc_id").alias("_d"), F.col("xh").alias("_h"), F.coalesce("root", "grp").alias("key")), "members")
+    drop(joined, groups, hot)
     if made is not None:
-        made += [groups]
-    members = groups.select(F.col("node").alias("id"), F.col("root").alias("key")).union(groups.select("root", "root").distinct()).distinct()
-    members = sets.drop("prefix").join(members, "id")
+        made += [members]
     sizes = members.groupBy("key").agg(F.sum("n").alias("s")).where(F.col("s") > run_shingles).select("key", F.ceil(2 * F.col("s") / run_shingles).cast("int").alias("blocks"))
-    members = members.withColumnRenamed("doc_id", "_d").withColumnRenamed("xh", "_h")
-    if groups.count() <= BROADCAST_ROWS:
-        members = F.broadcast(members)
-    texts = base.join(members, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("xh") == F.col("_h"))).select("key", "id", "n", "fp", "fp2", "text")
+    told = F.broadcast(members) if members.count() <= BROADCAST_ROWS else members
+    texts = base.join(told, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("xh") == F.col("_h"))).select("key", "id", "n", "fp", "fp2", "text")
     runs = _set_blocks(texts, sizes).repartition(parts, "key").sortWithinPartitions("key", "fp").select("key", "half", "id", "n", "fp", "fp2", "text")
     return arrow(runs, _set_links(width), "a long, b long")
 

@@ -1,7 +1,9 @@
 """The near-dedup stage against brute-force shingle Jaccard."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from latticework.llm import common, simhash_dedup
 
@@ -83,3 +85,32 @@ def test_texts_of_few_words_stay(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     kept = {r.doc_id for r in simhash_dedup.keep_one(docs).collect()}
     assert kept == brute(rows) == {*range(40), 100, 103, 105, 106}
+
+
+def test_fingerprints_lead_to_links(spark, planted):
+    """Sets within three bits are linked by their fingerprints, in the operator's way, without a common
+    shingle in their prefixes; what the fingerprints lose is found by the prefixes."""
+    docs = spark.createDataFrame(planted, "doc_id long, text string").selectExpr("doc_id", "xxhash64(text) as xh", "text")
+    fps = docs.mapInArrow(simhash_dedup._set_batches(5, np.zeros(0, np.uint64)), simhash_dedup.SET_SCHEMA).cache()
+    rows = fps.collect()
+    sets = {r.id: shingle_set(dict(planted)[r.doc_id]) for r in rows}
+    near = {(a.id, b.id) for a in rows for b in rows if a.id < b.id and ((a.fp ^ b.fp) & (1 << 64) - 1).bit_count() <= 3 and similar(sets[a.id], sets[b.id])}
+    bare = fps.withColumn("prefix", F.array().cast("array<long>"))
+    got = common.components(simhash_dedup.jaccard_links(docs, bare, 5))
+    roots = {r.node: r.root for r in got.collect()}
+    assert near and all(roots.get(a, a) == roots.get(b, b) for a, b in near)
+    whole = {r.node: r.root for r in common.components(simhash_dedup.jaccard_links(docs, fps, 5)).collect()}
+    assert len(whole) > len(roots) and len({whole.get(r.id, r.id) for r in rows}) == len(brute(planted))
+
+
+def test_prefixes_join_groups_only():
+    """A pair of one group is not looked at again; others join groups, by any of their sets."""
+    key, group = [1, 1, 1, 1, 2, 2, 3, 3], [7, 9, 7, 8, 7, 7, 5, 6]
+    n = [100, 100, 100, 40, 90, 90, 50, 90]
+    fp = [0, -1, 1, 2, 0, 1, 0, 0]
+    columns = {"key": key, "half": [-1] * 8, "id": group, "n": pa.array(n, pa.int32()), "fp": fp, "fp2": fp}
+    links = [tuple(r.values()) for b in simhash_dedup._set_links(None)(iter([pa.RecordBatch.from_pydict(columns)])) for r in b.to_pylist()]
+    assert links == []
+    columns["fp"] = columns["fp2"] = [0, 3, 1, 2, 0, 1, 0, 0]
+    links = [tuple(r.values()) for b in simhash_dedup._set_links(None)(iter([pa.RecordBatch.from_pydict(columns)])) for r in b.to_pylist()]
+    assert links == [(9, 7)]
