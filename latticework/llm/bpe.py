@@ -6,7 +6,7 @@ words of a partition that were not met before are laid out as one linked list of
 index maps each adjacent pair to all its positions, and a heap holds the ranks of the pairs
 that occur.  The lowest active rank is applied to all its positions, which updates the lists
 of the pairs beside them, until no pair has a rank.  Each distinct word is merged once while
-it stays in the cache; texts are assembled from their words.
+it stays in the cache of its task; texts are assembled from their words.
 
 The index works on arrays: a rank is applied to all its positions at once.  Words in which a
 rank has several positions at a time, where the order inside the word matters, go through the
@@ -60,7 +60,7 @@ def byte_letters() -> list[str]:
 
 class Encoder:
     """Merges words by rank; pieces between white space are kept as arrays of tokens, up to
-    ``CACHE_PIECES`` of them."""
+    ``CACHE_PIECES`` of them, until a task ends."""
 
     def __init__(self, path: str):
         spec = json.load(open(path, encoding="utf-8"))
@@ -322,27 +322,32 @@ class Encoder:
                 out += self.split(part)
         return out
 
-    def token_ids(self, texts: list[str]) -> list[np.ndarray]:
-        """Token ids of each text."""
-        every: list[str] = []
-        counts = []
+    def entries_of(self, texts: list[str]) -> tuple[list[np.ndarray], dict[str, int]]:
+        """The entries of each text's pieces, and the pieces that have none, numbered: ``-1 - k``
+        stands for number k.  Of a text that is done only its entries are held."""
+        out, fresh = [], {}
         for text in texts:
             own = self.pieces(text)
-            every += own
-            counts.append(len(own))
-        entries = np.fromiter(map(self.index.get, every, repeat(-1)), np.int64, len(every))
-        missing = np.flatnonzero(entries < 0).tolist()
-        fresh = {every[k] for k in missing}
+            entries = np.fromiter(map(self.index.get, own, repeat(-1)), np.int32, len(own))
+            for k in np.flatnonzero(entries < 0).tolist():
+                entries[k] = -1 - fresh.setdefault(own[k], len(fresh))
+            out.append(entries)
+        return out, fresh
+
+    def token_ids(self, texts: list[str]) -> list[np.ndarray]:
+        """Token ids of each text."""
+        found, fresh = self.entries_of(texts)
         if len(self.index) + len(fresh) > CACHE_PIECES:  # the cache starts anew before it outgrows its bound
             self.clear()
-            missing = range(len(every))
-            fresh = set(every).difference(self.index)
+            found, fresh = self.entries_of(texts)
         if fresh:
-            self.learn(fresh)
-            entries[missing] = [self.index[every[k]] for k in missing]
-        ids, ends = self.gathered(entries)
-        last = np.concatenate(([0], ends))[np.cumsum(counts, dtype=np.int64)].tolist()
-        return [ids[a:b] for a, b in zip([0, *last], last, strict=False)]
+            self.learn(set(fresh))
+            learnt = np.fromiter(map(self.index.__getitem__, fresh), np.int32, len(fresh))
+            for entries in found:
+                missing = entries < 0
+                entries[missing] = learnt[-1 - entries[missing]]
+        # Text by text: what gathering takes is many times what it gives.
+        return [self.gathered(entries)[0] for entries in found]
 
     def decode(self, ids: np.ndarray) -> str:
         return " ".join(self.as_string[ids].tolist())
@@ -366,17 +371,22 @@ def default_path() -> str:
 def _encode_batches(path: str, digest: bool, block: int = BLOCK):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for batch in batches:
-            for part in text_blocks(batch, block):
-                texts = part.column("text").to_pylist()
-                if digest:
-                    told = [(n, *(hashlib.sha256(x.encode()).hexdigest() for x in both)) for n, *both in enc.encode_batch(texts)]
-                    columns = [pa.array([t[k] for t in told], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-                else:
-                    found = enc.token_ids(texts)
-                    columns = [pa.array([len(ids) for ids in found], pa.int64()), pa.array(found, pa.list_(pa.int32())), pa.array(map(enc.decode, found), pa.string())]
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names=["doc_id", "n_tokens", "ids", "decoded"])
+        try:
+            for batch in batches:
+                for part in text_blocks(batch, block):
+                    yield told(enc, part)
+        finally:
+            enc.clear()  # workers live on; what a task learnt would stay beside what other stages need
+
+    def told(enc: Encoder, part: pa.RecordBatch) -> pa.RecordBatch:
+        texts = part.column("text").to_pylist()
+        if digest:
+            rows = [(n, *(hashlib.sha256(x.encode()).hexdigest() for x in both)) for n, *both in enc.encode_batch(texts)]
+            columns = [pa.array([t[k] for t in rows], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
+            return pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        found = enc.token_ids(texts)
+        columns = [pa.array([len(ids) for ids in found], pa.int64()), pa.array(found, pa.list_(pa.int32())), pa.array(map(enc.decode, found), pa.string())]
+        return pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names=["doc_id", "n_tokens", "ids", "decoded"])
 
     return run
 

@@ -91,23 +91,43 @@ def drop(*tables: DataFrame) -> None:
 
 def arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """``df.mapInArrow`` with batches bounded by bytes, however long the texts are, and workers
-    that give their memory back after each task.
+    that give freed memory back after every few MB that they took and gave, and after each task.
 
     The bound is a setting of the session, which Spark reads when the query runs; it stays set."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
-            yield from run(batches)
+            yield from trimmed(run, batches)
         finally:
+            gc.collect()
             give_back()
 
     return df.mapInArrow(whole, schema)
 
 
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of ``run(batches)``.  Freed memory is given back before it adds up: whenever
+    ``BATCH_BYTES`` have been read and yielded since the last time."""
+    passed = 0
+
+    def counted() -> Iterator[pa.RecordBatch]:
+        nonlocal passed
+        for batch in batches:
+            passed += batch.nbytes
+            yield batch
+
+    for out in run(counted()):
+        passed += out.nbytes
+        yield out
+        del out
+        if passed >= BATCH_BYTES:
+            give_back()
+            passed = 0
+
+
 def give_back() -> None:
-    """Return freed memory to the system; workers live on between tasks."""
-    gc.collect()
+    """Return freed memory to the system; workers live on between batches and tasks."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
     if trim is not None:
